@@ -45,7 +45,7 @@ CONFUSIONS = (
     ("e", "c"), ("o", "0"), ("s", "5"), ("i", "1"), ("l", "1"), ("d", "cl"), ("u", "ii"), ("l", "i"), ("m", "rn"),
     ("о", "0"), ("g", "9"), ("h", "b"), ("é", "6"), ("и", "н"), ("b", "6"), ("п", "н"), ("л", "п"), ("w", "vv"),
     ("ti", "d"), ("з", "3"), ("ч", "4"), ("cl", "d"), ("li", "h"), ("rn", "m"), ("б", "6"), ("ш", "щ"), ("nn", "rm"), ("ñ", "fi"),
-    ("i", "l"), ("t", "7"), ("z", "2"), ("a", "4"), ("B", "8"), ("q", "9"), ("é", "e"), ("с", "c"), ("о", "o"), ("а", "a"),
+    ("i", "l"), ("t", "7"), ("z", "2"), ("a", "4"), ("q", "9"),
 )
 #: Characters that divide a word at a line end; punctuation around words; roman numerals and digits as misread.
 DIVIDERS = "-‐¬­"
