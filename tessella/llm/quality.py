@@ -7,7 +7,7 @@ parameters; statistics and forms are computed for every document, over its whole
 
 Cases: null, empty and blank texts have statistics of 0 and no form (null); documents of any length are taken whole;
 labels that are null, unknown, or contradict another label of the document are no holdout; without any holdout the
-scores stay uncalibrated; with fewer than two weak forms in the sample the line shares decide; repeated rows give
+scores stay uncalibrated; with fewer than LEAST_SAMPLE documents or two weak forms to train on the line shares decide; repeated rows give
 repeated rows; extra columns are ignored; empty tables give no rows.
 """
 
@@ -26,6 +26,7 @@ from tessella.runtime import read_table, spread
 FORMS = ("prose", "list", "table", "junk")
 SAMPLE_ROWS = 6_000
 HOLDOUT_ROWS = 6_000
+LEAST_SAMPLE = 100
 ROUNDS, DEPTH, RATE, BINS, LEAF = 40, 3, 0.25, 32, 8
 MAX_WORDS = 1_000_000
 #: A lead-in of a sentence or two has at most so many characters, and what follows at least this share of all.
@@ -177,7 +178,9 @@ def statistics(text: str | None, common: frozenset) -> list[float]:
     settle()
     total = sum(chars)
     distinct = len(set(words))
-    if count >= 20 and distinct < 0.25 * count and distinct <= 14:
+    # The same few words over and over; of lines that look like a list's or a table's, even fewer.
+    few = 14 if chars[1] + chars[2] < 0.5 * total or n_lines < 4 else 5
+    if count >= 20 and distinct < 0.25 * count and distinct <= few:
         chars = [0, 0, 0, total]
     digits = classes.count("9")
     return [
@@ -272,10 +275,11 @@ class Trees:
 
 
 class LineShares:
-    """Stands in for trees where a sample shows fewer than two forms: the shares themselves."""
+    """Stands in for trees where a sample is too small to grow them: the weak form, and the shares."""
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return _shares(x)
+        shares = _shares(x)
+        return 0.6 * np.eye(len(FORMS))[weak_forms(x)] + 0.4 * shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-9)
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -351,7 +355,7 @@ def train(documents: DataFrame, labels: DataFrame, common: frozenset, sample_row
     weak = sorted((r for r in rows if r["form"] is None), key=lambda r: r["draw"])[:sample_rows]
     held = [r for r in rows if r["form"] is not None]
     x = np.array([r["x"] for r in weak] or np.zeros((0, len(STATISTICS))))
-    if not len(x) or len(set(weak_forms(x))) < 2:
+    if len(x) < LEAST_SAMPLE or len(set(weak_forms(x))) < 2:
         return LineShares()
     trees = Trees().fit(x, weak_forms(x))
     if held:

@@ -51,7 +51,7 @@ _GRAPHEME = regex.compile(r"\X")
 
 
 def prefix_sizes(text: str, unit: str, count=None) -> np.ndarray:
-    """size(text[:i]) for every i; a range's size is a difference. Words count where they end."""
+    """size(text[:i]) for every i; a range's size is a difference (of tokens, nearly so)."""
     n = len(text)
     if unit == "characters":
         return np.arange(n + 1)
@@ -72,6 +72,10 @@ def prefix_sizes(text: str, unit: str, count=None) -> np.ndarray:
     return np.cumsum(out)
 
 
+def size_of(text: str, unit: str, count=None) -> int:
+    return count(text) if unit == "tokens" else int(prefix_sizes(text, unit)[-1])
+
+
 def boundaries(text: str, spans: list[tuple]) -> list[list[int]]:
     """Sorted offsets at which a piece may end, best kind first."""
     ends = sorted({b for a, b, *_ in spans} | {a for a, *_ in spans if a})
@@ -92,11 +96,30 @@ def _last(offsets: list[int], above: int, upto: int) -> int | None:
     return offsets[i] if i >= 0 and offsets[i] > above else None
 
 
+def _end(text: str, sums: np.ndarray, kinds: list[list[int]], unit: str, start: int, reach: int, room: int) -> int:
+    """Where a piece ends: the best boundary in reach that leaves it full enough, any boundary, else a hard cut."""
+    if unit == "words":
+        reach = _last(kinds[-1], start, reach) or reach
+    enough = int(np.searchsorted(sums, sums[start] + int(room * LEAST_FILL), "left"))
+    for offsets in kinds:
+        end = _last(offsets, max(start, enough - 1), reach)
+        if end is not None:
+            return end
+    end = _last(kinds[-1], start, reach)
+    if end is not None:
+        return end
+    end = max(reach, start + 1)
+    if end < len(text):
+        whole = [start + m.end() for m in _GRAPHEME.finditer(text[start : end + 1]) if start + m.end() <= end]
+        end = whole[-1] if whole else end
+    return end
+
+
 def cut(text: str, spans: list[tuple], unit: str, most: int, overlap: int, count=None) -> list[tuple[int, int, str]]:
     """(start, end, header) of the pieces; spans are (start, end, kind, block_id, header) in order."""
     sums = prefix_sizes(text, unit, count)
     kinds = boundaries(text, spans)
-    measure = lambda t: int(prefix_sizes(t, unit, count)[-1])
+    measure = lambda t: size_of(t, unit, count)
     starts = [a for a, *_ in spans]
     headers = [measure(h + "\n") if h else 0 for *_, h in spans]
     overlap = min(max(overlap, 0), most // 2)
@@ -109,24 +132,14 @@ def cut(text: str, spans: list[tuple], unit: str, most: int, overlap: int, count
         if span[4] and span[0] + len(span[4]) < start < span[1] and headers[k] <= HEADER_SHARE * most:
             header, room = span[4], most - headers[k]
         reach = int(np.searchsorted(sums, sums[start] + room, "right")) - 1
-        if reach >= n:
+        if reach >= n and (unit != "tokens" or measure(f"{header}\n{text[start:]}" if header else text[start:]) <= most):
             out.append((start, n, header))
             break
-        if unit == "words":
-            reach = _last(kinds[-1], start, reach) or reach
-        enough = int(np.searchsorted(sums, sums[start] + int(room * LEAST_FILL), "left"))
-        end = None
-        for offsets in kinds:
-            end = _last(offsets, max(start, enough - 1), reach)
-            if end is not None:
-                break
-        if end is None:
-            end = _last(kinds[-1], start, reach)
-        if end is None:
-            end = max(reach, start + 1)
-            near = [start + m.end() for m in _GRAPHEME.finditer(text[start : end + 1]) if start + m.end() <= end]
-            if near and end < n:
-                end = near[-1]
+        reach = min(reach, n - (unit == "tokens"))
+        end = _end(text, sums, kinds, unit, start, reach, room)
+        while unit == "tokens" and end > start + 1 and measure(f"{header}\n{text[start:end]}" if header else text[start:end]) > most:
+            # Tokens of a piece aren't quite those of its words: a smaller piece is tried.
+            end = _end(text, sums, kinds, unit, start, end - 1, room)
         out.append((start, end, header))
         if end >= n:
             break
@@ -161,7 +174,7 @@ def pieces_of(text: str, spans: list[tuple], unit: str, most: int, overlap: int,
         rows.append(
             {
                 "text": full,
-                "size": int(prefix_sizes(full, unit, count)[-1]),
+                "size": size_of(full, unit, count),
                 "start_offset": start,
                 "end_offset": end,
                 "has_header": bool(header),
