@@ -34,6 +34,8 @@ MAX_WORDS = 1_000_000
 MOST_CONFUSIONS = 3
 TITLE_LENGTH = 60
 TITLE_WORDS = 6
+#: A page number without a word before it; also the blanks that may part a number from a title.
+PAGE_LENGTH = 8
 #: Documents in which an ending or a beginning of titles must be seen to vouch for a title seen once.
 VOUCHERS = 3
 #: Blocks at whose edges a line must stand to be a title by itself.
@@ -174,8 +176,12 @@ def furniture_lines(blocks: DataFrame) -> DataFrame:
     """``block_key, line_no`` of running titles and page numbers."""
     short = (
         numbered_lines(blocks)
-        .filter((F.char_length(F.trim("line")) <= TITLE_LENGTH + 10) & (F.trim("line") != ""))
-        .withColumn("page", F.trim("line").rlike(PAGE_LINE) | F.trim("line").rlike(CODED_PAGE_LINE))
+        .withColumn("bare", F.trim("line"))
+        .filter((F.col("bare") != "") & (F.char_length("bare") <= TITLE_LENGTH + 10))
+        # Before any pattern: a title begins with a capital or no letter, and a bare page number is short.
+        .filter((F.char_length("bare") <= PAGE_LENGTH) | (F.lower(F.substring("bare", 1, 1)) != F.substring("bare", 1, 1)) | (F.upper(F.substring("bare", 1, 1)) == F.substring("bare", 1, 1)))
+        .filter(F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(" "))) <= TITLE_WORDS + PAGE_LENGTH)
+        .withColumn("page", F.col("bare").rlike(PAGE_LINE) | F.col("bare").rlike(CODED_PAGE_LINE))
         .withColumn("shape", _title_shape(F.col("line")))
     )
     # A line that can't be a title or a page number isn't kept: few titles are as long as body lines, and none ends like a sentence's end.
@@ -288,10 +294,10 @@ def find_noise(blocks: DataFrame, word_list: DataFrame) -> dict[str, DataFrame]:
     spark = blocks.sparkSession
     words = collect_words(word_list)
     shipped = frozenset(words)
-    slim = blocks.select(F.col("block_key").cast("long").alias("block_key"), "doc_id", F.col("ord").cast("int").alias("ord"), "text", "pages")
+    slim = spread(blocks.select(F.col("block_key").cast("long").alias("block_key"), "doc_id", F.col("ord").cast("int").alias("ord"), "text", "pages"))
     furniture = cut_lineage(furniture_lines(slim))
     skips = furniture.groupBy("block_key").agg(F.collect_set("line_no").alias("skip"))
-    texts = spread(slim.filter("length(trim(text)) > 0").select("block_key", "doc_id", "ord", "text")).join(skips, "block_key", "left")
+    texts = slim.filter("length(trim(text)) > 0").select("block_key", "doc_id", "ord", "text").join(skips, "block_key", "left")
     units = cut_lineage(texts.select("block_key", "doc_id", "ord", "text", "skip").mapInArrow(_units(shipped), _UNITS))
 
     firsts = units.filter("role = 'first'").select("block_key", "doc_id", "ord", "line_no", "left")
