@@ -342,6 +342,109 @@ def find_noise(blocks: DataFrame, word_list: DataFrame) -> dict[str, DataFrame]:
     return {"furniture": furniture, "divided": divided, "misread": misread}
 
 
+# --- paragraphs -----------------------------------------------------------------------------------------------------
+
+_PIECES = "doc_id string, ord int, piece_no int, text string, opens boolean, closes boolean, joint string"
+_PIECE_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+_SECTION = re.compile(r"^\d+(?:\.\d+)+\s+\S")
+
+
+def _like(word: str, model: str) -> str:
+    """``word`` with the capitals of ``model``."""
+    if model.isupper() and len(model) > 1:
+        return word.upper()
+    return word[:1].upper() + word[1:] if model[:1].isupper() else word
+
+
+def _spelled(token: str, word: str) -> str:
+    """A token with its punctuation around the corrected word."""
+    bare = token.strip(AROUND)
+    return token.replace(bare, _like(word, bare), 1) if bare else token
+
+
+def repair(text: str, skip: set[int], fixes: dict[tuple[int, str], str], joins: dict[int, tuple[bool, str]]) -> list[tuple[str, bool, bool, str]]:
+    """(text, opens a paragraph, closes one, joint) of a block's paragraphs without furniture, words joined and corrected.
+
+    ``joins`` has, by line, whether the divider goes and the whole word. ``joint`` tells how the next block's text goes
+    on: a blank, or nothing where the last word is divided.
+    """
+    paragraphs: list[tuple[list[str], bool]] = []
+    pending: tuple[bool, str] | None = None
+    fresh = False
+    for no, raw in enumerate(text.split("\n"), 1):
+        if no in skip:
+            continue
+        tokens = raw.split()
+        if not tokens:
+            fresh = True
+            continue
+        tokens = [_spelled(t, fixes[no, b]) if (b := t.strip(AROUND)) and (no, b) in fixes else t for t in tokens]
+        section = bool(_SECTION.match(raw))
+        new = not pending and (fresh or section or raw.startswith("  "))
+        if not paragraphs or new:
+            paragraphs.append(([], bool(new)))
+        words = paragraphs[-1][0]
+        if pending and words:
+            gone, whole = pending
+            left, right = words.pop(), tokens.pop(0)
+            # The whole word, with what stands before the first half and after the second.
+            head, tail = left[: len(left) - len(left.lstrip(AROUND))], right[len(right.rstrip(AROUND)) :]
+            words.append(head + _like(whole, left.lstrip(AROUND)) + tail if whole else (left[:-1] if gone else left) + right)
+        words += tokens
+        pending = joins.get(no) if tokens and tokens[-1][-1] in DIVIDERS or no in joins else None
+        fresh = section
+    out = []
+    for k, (words, new) in enumerate(paragraphs):
+        line, last = " ".join(words), k == len(paragraphs) - 1
+        joint = " "
+        if last and pending:
+            line, joint = (line[:-1] if pending[0] else line), ""
+        out.append((line, new or k > 0, not last or fresh or line.endswith(tuple(SENTENCE_END)), joint))
+    return out
+
+
+def _repair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            fixes = {(f["line_no"], f["token"]): f["word"] for f in r["fixes"] or ()}
+            joins = {j["line_no"]: (j["is_hyphen"], j["word"] if j["whole"] else "") for j in r["joins"] or ()}
+            rows += [(r["doc_id"], r["ord"], n, *piece) for n, piece in enumerate(repair(r["text"], set(r["skip"] or ()), fixes, joins))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _PIECE_TYPES)], [f.split(" ")[0] for f in _PIECES.split(", ")])
+
+
+def repaired_paragraphs(blocks: DataFrame, word_list: DataFrame) -> DataFrame:
+    """``doc_id, paragraph_no, first_ord, text``: continuous paragraphs over pages and blocks, of each block once.
+
+    A paragraph goes on in the next block unless its last line ends a sentence or a blank line or an indent follows.
+    Blocks delivered twice count once (the smaller block_key); blocks without doc_id or ord are left out, as they have no
+    place in a document.
+    """
+    noise = find_noise(blocks, word_list)
+    skips = noise["furniture"].groupBy("block_key").agg(F.collect_set("line_no").alias("skip"))
+    fixes = noise["misread"].filter("block_key is not null").groupBy("block_key").agg(F.collect_set(F.struct("line_no", "token", "word")).alias("fixes"))
+    joins = noise["divided"].filter("block_key is not null").groupBy("block_key").agg(F.collect_set(F.struct("line_no", "is_hyphen", "word", F.col("right_key").isNotNull().alias("whole"))).alias("joins"))
+    once = blocks.filter("doc_id is not null and ord is not null and length(trim(text)) > 0").groupBy("doc_id", "ord").agg(F.min(F.struct(F.col("block_key").cast("long").alias("block_key"), "text")).alias("b"))
+    texts = once.select("doc_id", F.col("ord").cast("int").alias("ord"), "b.block_key", "b.text")
+    ready = texts.join(skips, "block_key", "left").join(fixes, "block_key", "left").join(joins, "block_key", "left")
+    pieces = cut_lineage(ready.select("doc_id", "ord", "text", "skip", "fixes", "joins").mapInArrow(_repair_blocks, _PIECES))
+    # A piece begins a paragraph if it says so or the piece before closes one; numbers are counted bucket by bucket.
+    place = pieces.withColumn("bucket", F.floor(F.col("ord") / BUCKET))
+    inner, outer = Window.partitionBy("doc_id", "bucket").orderBy("ord", "piece_no"), Window.partitionBy("doc_id").orderBy("bucket")
+    ends = place.groupBy("doc_id", "bucket").agg(F.max(F.struct("ord", "piece_no", "closes"))["closes"].alias("closes")).withColumn("before", F.lag("closes").over(outer)).select("doc_id", "bucket", "before")
+    told = place.join(ends, ["doc_id", "bucket"]).withColumn("starts", F.when(F.col("opens") | F.coalesce(F.lag("closes").over(inner), F.col("before"), F.lit(True)), 1).otherwise(0))
+    counts = told.groupBy("doc_id", "bucket").agg(F.sum("starts").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("doc_id", "bucket", "base")
+    numbered = told.join(counts, ["doc_id", "bucket"]).withColumn("paragraph_no", F.col("base") + F.sum("starts").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.sort_array(F.collect_list(F.struct("ord", "piece_no", "text", "joint")))
+    joined = F.aggregate("parts", F.struct(F.lit("").alias("text"), F.lit("").alias("joint")), lambda s, p: F.struct(F.concat(s["text"], s["joint"], p["text"]).alias("text"), p["joint"].alias("joint")), lambda s: s["text"])
+    return numbered.groupBy("doc_id", "paragraph_no").agg(parts.alias("parts")).select("doc_id", "paragraph_no", F.element_at("parts", 1)["ord"].alias("first_ord"), joined.alias("text"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_paragraphs(read_table(spark, sf_dir, "pdf_blocks"), read_table(spark, sf_dir, "word_list"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = find_noise(read_table(spark, sf_dir, "pdf_blocks"), read_table(spark, sf_dir, "word_list"))
     return (
@@ -352,5 +455,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
 SQL: dict[str, str] = {}

@@ -46,3 +46,19 @@ def test_kinds(spark):
     assert all(df.count() == 0 for df in empty.values())
 
 
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    from tessella.llm.scan_noise import repaired_paragraphs
+
+    pages = [
+        "ZUDOR FIELD REPORT\nThe teacher is asked, quest-\nion of the self-\nemployed owner is the ans-\n1",
+        "ZUDOR FIELD REPORT\nwer of the tcacher.\n\nThe 0wner is\n2",
+        "ZUDOR FIELD REPORT\nasked of Zudo-\nrim.\n3",
+    ]
+    schema = "block_key long, doc_id string, ord int, text string, page int, pages array<int>, table_rows array<array<string>>, section_path array<string>"
+    blocks = spark.createDataFrame(blocks_of(pages) + [(9, "d1", 0, pages[0], 1, [1], None, None), (10, None, 7, "the owner", 1, [1], None, None)], schema)
+    words = spark.createDataFrame([(w, "en", True) for w in WORDS], "word string, lang string, is_common boolean")
+    out = repaired_paragraphs(blocks, words).orderBy("paragraph_no").collect()
+    assert [r.text for r in out] == ["The teacher is asked, question of the self-employed owner is the answer of the teacher.", "The owner is asked of Zudo- rim."]
+    assert repaired_paragraphs(blocks.limit(0), words).count() == 0
