@@ -75,3 +75,39 @@ def neighbours_of(targets: DataFrame, inventory: DataFrame, keys: list[str], bef
     place = targets.join(inventory.select(*keys, "node_id", "source_order", F.col("section").alias("own")), [*keys, "node_id"])
     far = place.join(ends, keys).filter((F.col("section") != F.col("own")) & (F.col("last.source_order") < F.col("source_order"))).select(*keys, F.col("node_id").alias("target"), F.col("last.node_id").alias("node_id"), F.lit("section_end").alias("why"))
     return near.unionByName(far)
+
+
+def reviewed_edges(accepted: DataFrame, candidates: DataFrame, decisions: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Accepted edges, those of candidates whose last active decision confirms them, and those put in their place.
+
+    ``candidates``: candidate_id, status and an edge's columns; ``replacements``: decision_id and an edge's columns. Edges
+    that earlier reviews brought are not kept: they are derived anew from the decisions that are active now. Adds
+    ``origin`` and ``decision_id``.
+    """
+    edge = [c for c in accepted.columns if c in replacements.columns]
+    active = active_decisions(decisions)
+    last = latest_decision(active.select("decision_id", "ord", F.explode("candidate_ids").alias("candidate_id")), ["candidate_id"]).join(active.select("decision_id", "action"), "decision_id")
+    confirmed = candidates.join(last.filter("action = 'confirm'").select("candidate_id", "decision_id"), "candidate_id").select(*edge, F.lit("confirmed").alias("origin"), "decision_id")
+    put = replacements.join(last.filter("action = 'replace'").select("decision_id").distinct(), "decision_id").select(*edge, F.lit("replacement").alias("origin"), "decision_id")
+    return accepted.select(*edge, F.lit("accepted").alias("origin"), F.lit(None).cast(decisions.schema["decision_id"].dataType).alias("decision_id")).unionByName(confirmed).unionByName(put)
+
+
+def resolve_discrepancies(discrepancies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Adds ``is_resolved``: every candidate of a discrepancy has been confirmed, rejected or replaced."""
+    told = discrepancies.select("discrepancy_id", F.explode("candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id", "status"), "candidate_id", "left")
+    done = told.groupBy("discrepancy_id").agg(F.bool_and(F.coalesce(F.col("status").isin("confirmed", "rejected", "replaced"), F.lit(False))).alias("is_resolved"))
+    return discrepancies.join(done, "discrepancy_id", "left").withColumn("is_resolved", F.coalesce("is_resolved", F.lit(False)))
+
+
+def packet_closure(placed: DataFrame, discrepancies: DataFrame, candidates: DataFrame, evidence: DataFrame, key: str = "survey_id") -> DataFrame:
+    """``key, packet, what, id``: everything that a packet's discrepancies lead to: candidates, their evidence, its spans and ends."""
+    one = placed.join(discrepancies.select(key, "discrepancy_id", "candidate_ids"), [key, "discrepancy_id"])
+    cs = one.select(key, "packet", F.explode("candidate_ids").alias("candidate_id")).distinct()
+    es = cs.join(candidates.select("candidate_id", "source", "target", F.explode("evidence_ids").alias("evidence_id")), "candidate_id")
+    spans = es.select(key, "packet", "evidence_id").distinct().join(evidence.select("evidence_id", "span_id"), "evidence_id")
+    rows = lambda df, what, column: df.select(key, "packet", F.lit(what).alias("what"), F.col(column).cast("string").alias("id"))
+    parts = [rows(one, "discrepancy", "discrepancy_id"), rows(cs, "candidate", "candidate_id"), rows(es, "evidence", "evidence_id"), rows(spans, "span", "span_id"), rows(es, "node", "source"), rows(es, "node", "target")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
