@@ -156,20 +156,11 @@ def _title_shape(line: Column) -> Column:
 
 
 def numbered_lines(blocks: DataFrame) -> DataFrame:
-    """block_key, doc_id, ord, line_no, line, is_edge (first or last line that isn't blank), may_turn (block may hold a page's end)."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.rtrim(F.regexp_replace(x, "\r$", "")))
-    with_lines = blocks.filter("text is not null").withColumn("lines", lines)
-    filled = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.trim(F.element_at("lines", i)) != "")
-    numbered = with_lines.withColumn("filled", filled).filter("size(filled) > 0")
-    return numbered.select(
-        "block_key",
-        "doc_id",
-        "ord",
-        (F.coalesce(F.size("pages"), F.lit(0)) != 1).alias("may_turn"),
-        F.element_at("filled", 1).alias("first_no"),
-        F.element_at("filled", -1).alias("last_no"),
-        F.posexplode("lines").alias("at", "line"),
-    ).select("block_key", "doc_id", "ord", (F.col("at") + 1).alias("line_no"), "line", F.col("may_turn"), ((F.col("at") + 1 == F.col("first_no")) | (F.col("at") + 1 == F.col("last_no"))).alias("is_edge"))
+    """block_key, doc_id, ord, line_no, line, is_edge (first or last of the block), may_turn (block may hold a page's end), blank lines left out."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), F.rtrim(F.regexp_replace(x, "\r$", "")).alias("line")))
+    filled = blocks.filter("text is not null").withColumn("body", F.filter(lines, lambda x: F.ltrim(x["line"]) != ""))
+    numbered = filled.select("block_key", "doc_id", "ord", (F.coalesce(F.size("pages"), F.lit(0)) != 1).alias("may_turn"), F.size("body").alias("n"), F.posexplode("body").alias("at", "l"))
+    return numbered.select("block_key", "doc_id", "ord", F.col("l.no").alias("line_no"), F.col("l.line").alias("line"), "may_turn", ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1)).alias("is_edge"))
 
 
 def furniture_lines(blocks: DataFrame) -> DataFrame:
