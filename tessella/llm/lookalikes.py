@@ -217,7 +217,7 @@ def canonical_texts(texts: DataFrame, standard: DataFrame, text: str = "text", s
 def survey_texts(records: DataFrame) -> DataFrame:
     """record_id, slot_no, text: question_text as slot 0, the k-th category's label as slot k; nulls left out."""
     slots = F.concat(F.array(F.col("question_text")), F.coalesce(F.transform("categories", lambda c: c["label"]), F.array().cast("array<string>")))
-    return spread(records.select("record_id", "question_text", "categories")).select("record_id", F.posexplode(slots).alias("slot_no", "text")).filter("text is not null").select("record_id", F.col("slot_no").cast("long"), "text")
+    return spread(records.select("record_id", "question_text", "categories")).select("record_id", F.posexplode(slots).alias("slot_no", "text")).filter("text is not null").select("record_id", "slot_no", "text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -442,7 +442,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         noise["furniture"].withColumn("noise_kind", F.lit("furniture"))
         .unionByName(noise["divided"].filter("is_hyphen and block_key is not null").select("block_key", "line_no", F.lit("hyphen").alias("noise_kind")))
         .unionByName(noise["misread"].select("block_key", "line_no", F.lit("ocr").alias("noise_kind")))
-        .distinct().select("block_key", F.col("line_no").cast("long").alias("line_no"), "noise_kind")
+        .distinct().select("block_key", F.col("line_no").cast("int").alias("line_no"), "noise_kind")
     )
 
 
