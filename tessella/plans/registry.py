@@ -445,15 +445,16 @@ def dangling_edges(table):
 
 
 @query(
-    """with v as (select distinct event_type as value from events), b as (select distinct user_id as source, extract(hour from ts)::int // 8 as branch, event_type as value from events),
-t as (select source, value, count(*) as n from b group by all)
-select source, (select count(*) from v) as n_known, count(*) as n_covered, count(*) = (select count(*) from v) as is_covered, max(n) > 1 as has_overlap from t group by source"""
+    """with d as (select user_id as source, count(distinct event_type) as n_known from events group by all),
+t as (select user_id as source, event_type as value, count(distinct extract(hour from ts)::int // 8) as n from events where value >= 20 group by all),
+c as (select source, count(*) as n_covered, max(n) as most from t group by source)
+select source, n_known, n_covered, n_covered = n_known as is_covered, most > 1 as has_overlap from d join c using (source)"""
 )
 def branch_coverage(table):
+    """Of the event types that a user has at all, those that the user's branches (thirds of the day) take with a high value."""
     events = table("events")
-    branches = events.select(F.col("user_id").alias("source"), (F.hour("ts") / 8).cast("int").alias("branch"), F.col("event_type").alias("value")).distinct()
-    domains = events.select("user_id").distinct().crossJoin(F.broadcast(events.select(F.col("event_type").alias("value")).distinct().limit(1000))).select(F.col("user_id").alias("source"), "value")
-    return C.branch_coverage(branches, domains, [])
+    branches = events.filter("value >= 20").select(F.col("user_id").alias("source"), (F.hour("ts") / 8).cast("int").alias("branch"), F.col("event_type").alias("value")).distinct()
+    return C.branch_coverage(branches, events.select(F.col("user_id").alias("source"), F.col("event_type").alias("value")), [])
 
 
 @query("select user_id as node, count(distinct event_type) as n_conditions, count(distinct event_type) > 1 as is_conflict, case when count(distinct event_type) = 1 then min(event_type) end as condition from events group by user_id")
