@@ -53,6 +53,8 @@ CONFUSIONS = (
 DIVIDERS = "-‐¬­"
 AROUND = ".,;:()[]{}¿?¡!«»\"“”„…–—|"
 NUMBER = r"(?:[0-9IlOoSBZ|]{1,5}|[ivxlcdmIVXLCDM1l]{1,7})"
+#: A page number beside a title: digits as misread, or a roman numeral in lower case (i and l are also misread as 1 and l).
+BESIDE = r"(?:[0-9IlOoSBZ|.~]{1,5}|[ivxlcdm1l]{1,7})"
 PAGE_LINE = rf"(?U)^\W*(?:\p{{L}}+\.?\s+)?{NUMBER}(?:\s+\p{{L}}+\s+{NUMBER}|\s*/\s*{NUMBER})?\W*$"
 CODED_PAGE_LINE = rf"(?U)^(?=\S*[0-9_])[\p{{L}}0-9_.~-]{{4,}}\s+\|\s+{NUMBER}$"
 SENTENCE_END = ".!?…:;"
@@ -150,8 +152,7 @@ def _plain(token: str) -> str:
 
 def _title_shape(line: Column) -> Column:
     """The line without a page number beside it, blanks made single."""
-    beside = r"[0-9IlOoSBZ|.~]{1,5}"
-    bare = F.regexp_replace(line, rf"(?U)^\s*{beside}\s{{2,}}|\s{{2,}}{beside}\s*$", "")
+    bare = F.regexp_replace(line, rf"(?U)^\s*{BESIDE}\s{{2,}}|\s{{2,}}{BESIDE}\s*$", "")
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
@@ -169,8 +170,8 @@ def furniture_lines(blocks: DataFrame) -> DataFrame:
         numbered_lines(blocks)
         .withColumn("bare", F.trim("line"))
         .filter((F.col("bare") != "") & (F.char_length("bare") <= TITLE_LENGTH + 10))
-        # Before any pattern: a title begins with a capital or no letter, and a bare page number is short.
-        .filter((F.char_length("bare") <= PAGE_LENGTH) | (F.lower(F.substring("bare", 1, 1)) != F.substring("bare", 1, 1)) | (F.upper(F.substring("bare", 1, 1)) == F.substring("bare", 1, 1)))
+        # Before the other patterns: a title begins with a capital, no letter or a page number, and a bare page number is short.
+        .filter((F.char_length("bare") <= PAGE_LENGTH) | (F.lower(F.substring("bare", 1, 1)) != F.substring("bare", 1, 1)) | (F.upper(F.substring("bare", 1, 1)) == F.substring("bare", 1, 1)) | F.col("bare").rlike(rf"(?U)^{BESIDE}\s{{2,}}"))
         .filter(F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(" "))) <= TITLE_WORDS + PAGE_LENGTH)
         .withColumn("page", F.col("bare").rlike(PAGE_LINE) | F.col("bare").rlike(CODED_PAGE_LINE))
         .withColumn("shape", _title_shape(F.col("line")))

@@ -62,3 +62,12 @@ def test_paragraphs_go_on_over_pages(spark):
     out = repaired_paragraphs(blocks, words).orderBy("paragraph_no").collect()
     assert [r.text for r in out] == ["The teacher is asked, question of the self-employed owner is the answer of the teacher.", "The owner is asked of Zudo- rim."]
     assert repaired_paragraphs(blocks.limit(0), words).count() == 0
+
+
+def test_roman_page_numbers_beside_titles(spark):
+    from tessella.llm.scan_noise import furniture_lines
+
+    pages = ["Zudor Field Report\nthe owner", "ii   Zudor Field Report\nthe owner", "Zudor Field Report   iii\nthe owner", "Zudor Field Report\nthe owner", "1v  Zudor Field Rep0rt\r\nthe owner", "Zudor Field Report   xviii\nthe owner", "Zudor Field Report\ndid  the owner"]
+    schema = "block_key long, doc_id string, ord int, text string, page int, pages array<int>, table_rows array<array<string>>, section_path array<string>"
+    found = furniture_lines(spark.createDataFrame(blocks_of(pages), schema))
+    assert {(r.block_key, r.line_no) for r in found.collect()} == {(n, 1) for n in range(1, 8)}
