@@ -12,7 +12,7 @@ from tessella.functions import text as T
 from tessella.functions.prompts import EXTRACT
 from tessella.operators import chunking, evaluate, provider, quality
 from tessella.runtime import cut_lineage
-from tessella.sources.reader import parse_files, read_files
+from tessella.sources.reader import oversized_files, parse_files, read_files
 
 PAYLOAD = (
     "chunk_id string, variables array<struct<raw_name string, label string, question_text string, data_type string, module string, "
@@ -82,5 +82,6 @@ def convert_blocks(blocks: DataFrame, make_provider: Callable, config: Config =
 
 
 def convert_folder(spark: SparkSession, path: str, make_provider: Callable, config: Config = Config()) -> dict[str, DataFrame]:
-    files = read_files(spark, path).filter(F.col("n_bytes") <= config.most_source_bytes)
-    return convert_blocks(cut_lineage(parse_files(files)), make_provider, config)
+    """As ``convert_blocks``; a file above the configured size is a document whose source failed."""
+    blocks = parse_files(read_files(spark, path, most_bytes=config.most_source_bytes)).unionByName(oversized_files(spark, path, config.most_source_bytes))
+    return convert_blocks(cut_lineage(blocks), make_provider, config)

@@ -42,13 +42,26 @@ def parse_files(files: DataFrame, registry: dict[str, Callable] | None = None) -
     return files.select("doc_id", "source_name", "content").mapInArrow(run, BLOCKS)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a directory with their digest: doc_id is the digest of name and content."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int | None = None) -> DataFrame:
+    """Files below a directory with their digest: doc_id is the digest of name and content. Those above ``most_bytes`` are left to ``oversized_files``."""
+    raw = _listed(spark, path, pattern)
+    if most_bytes is not None:
+        raw = raw.filter(F.col("length") <= most_bytes)
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select(name.alias("source_name"), "content", F.sha2("content", 256).alias("snapshot_sha256"), F.col("length").alias("n_bytes")).withColumn("doc_id", F.sha2(F.concat_ws(":", "source_name", "snapshot_sha256"), 256))
 
 
+def oversized_files(spark: SparkSession, path: str, most_bytes: int, pattern: str = "*") -> DataFrame:
+    """A row of blocks with its fault for each file above ``most_bytes``, whose content isn't loaded: doc_id is the digest of path and length."""
+    large = _listed(spark, path, pattern).select("path", "length").filter(F.col("length") > most_bytes)
+    told = {"doc_id": F.sha2(F.concat_ws(":", "path", "length"), 256), "source_name": F.element_at(F.split("path", "/"), -1), "fault": F.lit("SOURCE_LIMIT_EXCEEDED")}
+    return large.select(*(told.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (f.split(" ") for f in BLOCKS.split(", "))))
+
+
 def read_blocks(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return parse_files(read_files(spark, path, pattern))
 

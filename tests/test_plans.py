@@ -10,7 +10,7 @@ from tessella.functions.prompts import EXTRACT, Prompt
 from tessella.operators import forms
 from tessella.operators.provider import rule_provider
 from tessella.plans import extraction, routing
-from tessella.sources.reader import parse_files
+from tessella.sources.reader import oversized_files, parse_files
 
 
 def make_rule():
@@ -89,6 +89,21 @@ def test_batch(spark, tmp_path, capsys):
     assert cli.main(["schema"]) == 0 and cli.main(["config"]) == 0
 
 
+def test_files_above_the_limit_are_failed_documents(spark, tmp_path):
+    for folder, size in (("a", 5), ("b", 500), ("c", 500)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_text("q" * size)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # raises where the content of a larger file is loaded
+    try:
+        out = extraction.convert_folder(spark, str(tmp_path), rule_provider(cli.nothing), config.Config(most_source_bytes=100))
+        assert sorted(r.status for r in out["results"].collect()) == ["failed", "failed", "success"]
+        assert out["calls"].count() == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    faults = oversized_files(spark, str(tmp_path), 100).collect()
+    assert [(r.source_name, r.fault, r.text) for r in faults] == [("x.txt", "SOURCE_LIMIT_EXCEEDED", None)] * 2
+
+
 def test_reconcile(spark):
     inv = spark.createDataFrame([("n1", "q1", "a", 1), ("n2", "q2", "a", 2), ("n3", "q2", "b", 3), ("n4", "q4", "b", 4)], "node_id string, alias string, section string, source_order int").withColumn("kind", F.lit("question")).withColumn("k", F.lit(1))
     rows = [("q1", "q2", "a", None, None, "forward"), ("q1", "q2", "a", "b", '{"op":"opaque","raw":"x"}', "forward"), ("q1", "zz", "a", None, None, "forward"), ("q4", "q1", "b", None, None, "native")]
