@@ -35,4 +35,4 @@ class Prompt:
 
 
 EXTRACT = Prompt("extract", "1", "List the survey variables of the following part of a questionnaire as data.\nPart: {{chunk_id}}\nRows that repeat in the document: {{inventory}}\n---\n{{text}}")
-METADATA = Prompt("metadata", "1", "Name the survey, country and year of this document as data.\nPart: {{chunk_id}}\n---\n{{text}}")
+METADATA = Prompt("metadata", "2", "Name the survey, country and year of this document as data: survey_id, country_code, year, survey_name, and where told study_type, data_collection_mode, language.\nPart: {{chunk_id}}\n---\n{{text}}")

@@ -116,26 +116,79 @@ def parts_of(block: dict, most: int, overlap: int) -> list[dict]:
     if block["kind"] == "table" and block["table_rows"]:
         text = _rendered(block["table_rows"])
         if size_of(text) <= most:
-            made = [(text, None)]
+            made = [(text, None, block["table_rows"])]
         else:
-            made = [(_rendered(p["rows"]), len(p["columns"])) for p in split_table(block["table_rows"], most, shared)]
+            made = [(_rendered(p["rows"]), len(p["columns"]), p["rows"]) for p in split_table(block["table_rows"], most, shared)]
     else:
         text = block["text"] or ""
-        made = [(text, None)] if size_of(text) <= shared else [(t, None) for t in split_text(text, shared)]
-    return [{"part_id": f"{block['block_id']}:part-{n:06d}", "block_id": block["block_id"], "kind": block["kind"], "text": t, "size": size_of(t), "n_columns": c} for n, (t, c) in enumerate(made, 1)]
+        made = [(text, None, None)] if size_of(text) <= shared else [(t, None, None) for t in split_text(text, shared)]
+    return [{"part_id": f"{block['block_id']}:part-{n:06d}", "block_id": block["block_id"], "kind": block["kind"], "text": t, "size": size_of(t), "n_columns": c, "rows": r} for n, (t, c, r) in enumerate(made, 1)]
+
+
+def halve_part(part: dict) -> list[dict]:
+    """A part in two: a table by rows, each half with the header, or one row by columns; a text in its middle. Ids are left to the caller."""
+    rows = part["rows"]
+    if rows is None:
+        middle = len(part["text"]) // 2
+        if not middle:
+            raise Unsplittable("a character exceeds the budget")
+        return [part | {"text": t, "size": size_of(t)} for t in (part["text"][:middle], part["text"][middle:])]
+    width = max(map(len, rows))
+    if len(rows) > 2:
+        middle = 1 + (len(rows) - 1) // 2
+        halves = [(rows[:middle], part["n_columns"]), ([rows[0], *rows[middle:]], part["n_columns"])]
+    elif width > 1:
+        padded, middle = [list(r) + [""] * (width - len(r)) for r in rows], width // 2
+        halves = [([r[:middle] for r in padded], middle), ([r[middle:] for r in padded], width - middle)]
+    else:
+        raise Unsplittable("a cell exceeds the budget")
+    return [part | {"text": (t := _rendered(r)), "size": size_of(t), "n_columns": c, "rows": r} for r, c in halves]
+
+
+def fitted(parts: list[dict], most: int) -> list[dict]:
+    """The parts of one block, halved until each fits ``most``, and numbered again."""
+    out, left = [], parts[::-1]
+    while left:
+        part = left.pop()
+        if part["size"] <= most:
+            out.append(part)
+        else:
+            left += halve_part(part)[::-1]
+    return [p | {"part_id": f"{p['block_id']}:part-{n:06d}"} for n, p in enumerate(out, 1)]
 
 
 class _Packer:
     """One document's chunks, made as its blocks come by."""
 
     def __init__(self, most: int, overlap: int):
-        self.most, self.overlap = most, overlap
+        self.limit, self.overlap = most, overlap
+        self.beside: int | None = None
         self.new: list[dict] = []
         self.tail: list[dict] = []
         self.size = 0
         self.made = 0
         self.key = None
 
+    @property
+    def most(self) -> int:
+        """Bytes of text that the chunk now filled may hold."""
+        return self.limit if self.beside is None else self.limit - self.beside - len(self._id(self.made + 1))
+
+    @staticmethod
+    def _id(number: int) -> str:
+        return f"chunk-{number:06d}"
+
+    def parts(self, block: dict) -> list[dict]:
+        if self.beside is None:
+            return parts_of(block, self.limit, self.overlap)
+        most = self.most
+        if most < 1:
+            raise Unsplittable("the prompt exceeds the budget")
+        self.overlap = min(self.overlap, most - 1)
+        made = parts_of(block, most, self.overlap)
+        # No chunk that these parts come to has a longer name.
+        return fitted(made, self.limit - self.beside - len(self._id(self.made + 1 + sum(max(p["size"], 1) for p in made))))
+
     def _tail(self) -> list[dict]:
         """Texts from the end of the last chunk, tables skipped, as long as the overlap lasts."""
         kept, used = [], 0
@@ -167,12 +220,14 @@ class _Packer:
         parts = self.tail + self.new
         ids = lambda ps: list(dict.fromkeys(p["block_id"] for p in ps))
         text = "\n\n".join(p["text"] for p in parts)
-        return (self.key, self.made - 1, f"chunk-{self.made:06d}", text, size_of(text), ids(parts), ids(self.new), ids(self.tail), [p["part_id"] for p in parts], error)
+        return (self.key, self.made - 1, self._id(self.made), text, size_of(text), ids(parts), ids(self.new), ids(self.tail), [p["part_id"] for p in parts], error)
 
 
-def chunk_blocks(blocks: DataFrame, most: int = 32_000, overlap: int = 1_000) -> DataFrame:
+def chunk_blocks(blocks: DataFrame, most: int = 32_000, overlap: int = 1_000, beside: str | None = None) -> DataFrame:
     """Chunks of at most ``most`` bytes from (doc_id, ord, block_id, kind, text, table_rows), in document order.
 
+    ``beside`` names a column with the bytes that a request of the document has besides a chunk's name and text; then
+    name, text and these together take at most ``most``.
     A block that can't be split gives a row with ``error`` and no text, and its document goes on.
     """
 
@@ -181,8 +236,9 @@ def chunk_blocks(blocks: DataFrame, most: int = 32_000, overlap: int = 1_000) ->
 
     def step(packer, row):
         packer.key = row["doc_id"]
+        packer.beside = row[beside] if beside else None
         try:
-            parts = parts_of(row, most, overlap)
+            parts = packer.parts(row)
         except Unsplittable as error:
             return [(row["doc_id"], None, None, None, None, [row["block_id"]], [], [], [], str(error))]
         return [c for part in parts for c in packer.add(part)]
@@ -190,7 +246,7 @@ def chunk_blocks(blocks: DataFrame, most: int = 32_000, overlap: int = 1_000) ->
     def finish(packer, key):
         return [packer.emit()] if packer.new else []
 
-    return ordered_fold(blocks.select("doc_id", "ord", "block_id", "kind", "text", "table_rows"), ["doc_id"], ["ord", "block_id"], start, step, finish, CHUNK)
+    return ordered_fold(blocks.select("doc_id", "ord", "block_id", "kind", "text", "table_rows", *([beside] if beside else [])), ["doc_id"], ["ord", "block_id"], start, step, finish, CHUNK)
 
 
 def pack_sizes(items: DataFrame, key: str, order: str, size: str, budget: int, separator: int = SEPARATOR) -> DataFrame:

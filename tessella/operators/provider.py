@@ -20,6 +20,8 @@ from tessella.runtime import cut_lineage
 
 #: Reasons of a failed call; the first two are tried again.
 TRANSPORT, INVALID, TRUNCATED, REFUSED = "transport", "invalid_response", "truncated", "refused"
+#: The reason of a request that is too large to be sent; tokens that a call takes besides its message.
+CAPACITY, OVERHEAD = "input_limit", 4
 
 
 class ProviderError(Exception):
@@ -138,7 +140,14 @@ def chunk_message(chunk_id: Column, text: Column, inventory: Column | None = Non
 
 def capacity_faults(requests: DataFrame, most_tokens: int) -> DataFrame:
     """Requests whose bytes and overhead exceed what a call may hold."""
-    return requests.filter(F.octet_length("message") + 4 > most_tokens)
+    return requests.filter(F.octet_length("message") + OVERHEAD > most_tokens)
+
+
+def map_fitting(requests: DataFrame, provider: Callable[[], Callable[[str], Answer]], most_tokens: int, **options) -> DataFrame:
+    """As ``map_requests``; a request that exceeds what a call may hold isn't sent and fails by itself."""
+    told = map_requests(requests.filter(F.octet_length("message") + OVERHEAD <= most_tokens), provider, **options)
+    over = capacity_faults(requests, most_tokens).withColumns({"ok": F.lit(False), "reason": F.lit(CAPACITY), "tries": F.lit(0)})
+    return told.unionByName(over, allowMissingColumns=True)
 
 
 def map_reduce(chunks: DataFrame, provider, schema: str, reduce_column: Callable[[Column], Column], strict: bool = False) -> DataFrame:

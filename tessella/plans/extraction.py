@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import Config
 from tessella.functions import text as T
-from tessella.functions.prompts import EXTRACT
+from tessella.functions.prompts import EXTRACT, METADATA
 from tessella.operators import chunking, evaluate, provider, quality
 from tessella.runtime import cut_lineage
 from tessella.sources.reader import oversized_files, parse_files, read_files
@@ -19,10 +20,16 @@ PAYLOAD = (
     "categories array<struct<code struct<t string, s string>, label string, is_missing boolean>>, numeric_range struct<min_value double, max_value double, notes string>, "
     "extraction_confidence double, needs_review boolean, source_block_ids array<string>>>"
 )
+SURVEY = "survey_id string, country_code string, year int, survey_name string, study_type string, data_collection_mode string, language string"
 
 
 def document_chunks(blocks: DataFrame, config: Config) -> DataFrame:
-    return chunking.chunk_blocks(blocks.filter("fault is null"), config.request_tokens, config.overlap_tokens)
+    """Chunks whose rendered requests, with the prompt and the document's inventory, are within the request's limit."""
+    empty = F.lit("")
+    prompts = [EXTRACT.render(chunk_id=empty, inventory=F.coalesce("inventory", F.lit("[]")), text=empty), METADATA.render(chunk_id=empty, text=empty)]
+    beside = F.greatest(*map(F.octet_length, prompts)) + provider.OVERHEAD
+    read = blocks.filter("fault is null").join(row_inventory(blocks), "doc_id", "left").withColumn("beside", beside)
+    return chunking.chunk_blocks(read, config.request_tokens, config.overlap_tokens, "beside")
 
 
 def row_inventory(blocks: DataFrame) -> DataFrame:
@@ -41,7 +48,7 @@ def extract_records(chunks: DataFrame, blocks: DataFrame, make_provider: Callabl
     message = EXTRACT.render(chunk_id=F.col("chunk_id"), inventory=F.coalesce("inventory", F.lit("[]")), text=F.col("text"))
     requests = asked.withColumn("message", message).withColumn("request_sha", provider.request_digest(F.lit(EXTRACT.digest), F.col("message")))
     retry = provider.Retry(config.transport_tries, config.invalid_tries)
-    told = provider.map_requests(requests, make_provider, retry=retry, most_calls=config.concurrency).withColumn("answer", F.from_json("payload", PAYLOAD))
+    told = provider.map_fitting(requests, make_provider, config.request_tokens, retry=retry, most_calls=config.concurrency).withColumn("answer", F.from_json("payload", PAYLOAD))
     cited = F.array_distinct(F.flatten(F.transform("answer.variables", lambda v: F.coalesce(v["source_block_ids"], F.array().cast("array<string>")))))
     sound = F.col("ok") & (F.col("answer.chunk_id") == F.col("chunk_id")) & (F.size(F.array_except(cited, "block_ids")) == 0)
     calls = cut_lineage(told.withColumn("reason", F.when(F.coalesce(sound, F.lit(False)), F.lit(None).cast("string")).otherwise(F.coalesce("reason", F.lit(provider.INVALID)))))
@@ -53,6 +60,30 @@ def extract_records(chunks: DataFrame, blocks: DataFrame, make_provider: Callabl
     return records, calls.select("doc_id", "chunk_ord", "chunk_id", F.col("reason").isNull().alias("ok"), "reason", "tries", "input_tokens", "output_tokens")
 
 
+def survey_metadata(chunks: DataFrame, blocks: DataFrame, make_provider: Callable, config: Config, extraction_date: datetime.date) -> tuple[DataFrame, DataFrame]:
+    """``(metadata, calls)``: one row a document that was read, and one row a chunk with how its call went.
+
+    The first chunk with a sound answer decides; ``is_incomplete`` where a call failed or another answer differs. Without
+    any sound answer the row is made of the file's name and the date, and ``is_fallback``.
+    """
+    asked = chunks.filter("error is null").withColumn("message", METADATA.render(chunk_id=F.col("chunk_id"), text=F.col("text")))
+    requests = asked.withColumn("request_sha", provider.request_digest(F.lit(METADATA.digest), F.col("message")))
+    retry = provider.Retry(config.transport_tries, config.invalid_tries)
+    told = provider.map_fitting(requests, make_provider, config.request_tokens, retry=retry, most_calls=config.concurrency).withColumn("answer", F.from_json("payload", SURVEY))
+    named = [F.length(F.trim(F.col("answer")[c])) > 0 for c in ("survey_id", "country_code", "survey_name")]
+    sound = F.coalesce(F.col("ok") & named[0] & named[1] & named[2] & F.col("answer.year").between(1000, 9999), F.lit(False))
+    calls = cut_lineage(told.withColumn("answer", F.when(sound, F.col("answer"))).withColumn("reason", F.when(~sound, F.coalesce("reason", F.lit(provider.INVALID)))))
+    stem = F.regexp_replace("source_name", r"(?<=.)\.[^.]*$", "")
+    name = F.initcap(F.trim(F.regexp_replace(stem, "[_-]+", " ")))
+    year = F.lit(extraction_date.year)
+    fallback = F.struct(F.lit(f"UNK_{extraction_date.year}_SURVEY").alias("survey_id"), F.lit("UNK").alias("country_code"), year.alias("year"), F.when(name == "", "Survey").otherwise(F.coalesce(name, F.lit("Survey"))).alias("survey_name"), *(F.lit(None).cast("string").alias(c) for c in ("study_type", "data_collection_mode", "language")))
+    won = evaluate.first_success(calls, "doc_id", "chunk_ord", "answer")
+    read = blocks.filter("fault is null").groupBy("doc_id").agg(F.min("source_name").alias("source_name"))
+    told = read.join(won, "doc_id", "left").withColumn("is_fallback", F.col("answer").isNull()).withColumn("answer", F.coalesce("answer", fallback))
+    metadata = told.select("doc_id", "answer.*", (F.col("is_fallback") | F.coalesce("is_incomplete", F.lit(True))).alias("is_incomplete"), "is_fallback")
+    return metadata, calls.select("doc_id", "chunk_ord", "chunk_id", F.col("reason").isNull().alias("ok"), "reason", "tries", "input_tokens", "output_tokens")
+
+
 def with_provenance(records: DataFrame, blocks: DataFrame) -> DataFrame:
     """Records with the place of the first block they cite: its sheet and section, and its zero-based page where it has one."""
     place = blocks.select(F.col("doc_id").alias("survey_id"), F.col("block_id").alias("first_block"), "sheet", "section_path")
@@ -61,9 +92,10 @@ def with_provenance(records: DataFrame, blocks: DataFrame) -> DataFrame:
     return told.withColumn("prov", F.struct(F.lit(None).cast("int").alias("page"), "sheet", "section_path")).drop("first_block", "sheet", "section_path")
 
 
-def convert_blocks(blocks: DataFrame, make_provider: Callable, config: Config = Config()) -> dict[str, DataFrame]:
-    """variables, diagnostics, calls and results (one row a document, also where its source failed)."""
+def convert_blocks(blocks: DataFrame, make_provider: Callable, config: Config = Config(), extraction_date: datetime.date | None = None) -> dict[str, DataFrame]:
+    """variables, metadata, diagnostics, calls, metadata_calls and results (one row a document, also where its source failed)."""
     chunks = cut_lineage(document_chunks(blocks, config))
+    metadata, metadata_calls = survey_metadata(chunks, blocks, make_provider, config, extraction_date or datetime.date.today())
     records, calls = extract_records(chunks, blocks, make_provider, config)
     records = cut_lineage(with_provenance(records, blocks))
     policy = quality.apply_policy(records, config.confidence_threshold)
@@ -78,7 +110,7 @@ def convert_blocks(blocks: DataFrame, make_provider: Callable, config: Config =
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return {"variables": variables, "diagnostics": diagnostics, "calls": calls, "results": evaluate.result_status(rows, "doc_id")}
+    return {"variables": variables, "metadata": metadata, "diagnostics": diagnostics, "calls": calls, "metadata_calls": metadata_calls, "results": evaluate.result_status(rows, "doc_id")}
 
 
 def convert_folder(spark: SparkSession, path: str, make_provider: Callable, config: Config = Config()) -> dict[str, DataFrame]:

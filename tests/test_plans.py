@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 
@@ -7,8 +8,8 @@ from test_forms_streaming_queries import sheet_rows
 
 from tessella import cli, config
 from tessella.functions.prompts import EXTRACT, Prompt
-from tessella.operators import forms
-from tessella.operators.provider import rule_provider
+from tessella.operators import chunking, forms
+from tessella.operators.provider import ProviderError, map_fitting, rule_provider
 from tessella.plans import extraction, routing
 from tessella.sources.reader import oversized_files, parse_files
 
@@ -104,6 +105,59 @@ def test_files_above_the_limit_are_failed_documents(spark, tmp_path):
     assert [(r.source_name, r.fault, r.text) for r in faults] == [("x.txt", "SOURCE_LIMIT_EXCEEDED", None)] * 2
 
 
+def test_requests_hold_to_the_limit(spark):
+    limit = 700
+    sent = spark.sparkContext.accumulator(0)
+
+    def rule(message):
+        if len(message.encode()) + 4 > limit:
+            raise ProviderError("refused")
+        sent.add(1)
+        if message.startswith("Name"):
+            return {}
+        part, text = message.split("\nPart: ", 1)[1].split("\n", 1)[0], message.split("\n---\n", 1)[1]
+        return {"chunk_id": part, "variables": [{"raw_name": w, "question_text": w, "data_type": "text", "extraction_confidence": 0.9, "needs_review": False, "source_block_ids": ["block-000001"]} for w in text.split() if w.startswith("q")]}
+
+    text = " ".join(f"q{n:03d}" for n in range(400))
+    table = "h,i\n" + "".join(f"é{n % 7},same row\n" for n in range(200))
+    files = spark.createDataFrame([("d1", "a.txt", bytearray(text.encode())), ("d2", "t.csv", bytearray(table.encode()))], "doc_id string, source_name string, content binary")
+    out = extraction.convert_blocks(parse_files(files), rule_provider(rule), config.Config(request_tokens=limit, overlap_tokens=50))
+    assert {r.doc_id: r.status for r in out["results"].collect()} == {"d1": "success", "d2": "success"}
+    assert {r.raw_name for r in out["variables"].collect()} == set(text.split())
+    assert sent.value > 0 and out["calls"].filter("input_tokens + 4 > 700 or not ok").count() == 0
+    narrow = config.Config(request_tokens=60, overlap_tokens=10)
+    assert {r.status for r in extraction.convert_blocks(parse_files(files), rule_provider(rule), narrow)["results"].collect()} == {"partial"}
+    over = spark.createDataFrame([("s", "x" * 97)], "request_sha string, message string")
+    assert [(r.ok, r.reason, r.tries) for r in map_fitting(over, rule_provider(rule), 100).collect()] == [(False, "input_limit", 0)]
+
+
+def test_halves():
+    table = {"block_id": "b", "part_id": "b:part-000001", "kind": "table", "text": "", "size": 99, "n_columns": None, "rows": [["h", "i", "j"], ["1", "2", "3"], ["4", "5"], ["6", "7", "8"]]}
+    assert [p["rows"] for p in chunking.halve_part(table)] == [[["h", "i", "j"], ["1", "2", "3"]], [["h", "i", "j"], ["4", "5"], ["6", "7", "8"]]]
+    assert [p["rows"] for p in chunking.halve_part(table | {"rows": [["h", "i", "j"], ["4", "5"]]})] == [[["h"], ["4"]], [["i", "j"], ["5", ""]]]
+    small = chunking.fitted([table], 14)
+    assert [p["text"] for p in small] == ["h\n1", "i | j\n2 | 3", "h\n4", "i | j\n5 | ", "h\n6", "i | j\n7 | 8"] and [p["part_id"] for p in small] == [f"b:part-{n:06d}" for n in range(1, 7)]
+    with pytest.raises(chunking.Unsplittable):
+        chunking.fitted([table], 2)
+
+
+def test_metadata(spark):
+    def rule(message):
+        if not message.startswith("Name"):
+            return cli.nothing(message)
+        text = message.split("\n---\n", 1)[1]
+        survey = {"survey_id": "X_1", "country_code": "XXX", "survey_name": "X", "language": "en"}
+        return {} if "none" in text else survey | {"year": 2002 if "later" in text else 99 if "unsound" in text else 2001}
+
+    body = {"one": b"one", "two": b"none " * 40 + b"\n\n" + b"one " * 50, "three": b"one " * 70 + b"\n\nlater " + b"x " * 100, "four": b"unsound"}
+    files = spark.createDataFrame([(d, f"lab_force-{d}.txt", bytearray(t)) for d, t in body.items()] + [("bad", "c.pdf", bytearray(b"%PDF-"))], "doc_id string, source_name string, content binary")
+    out = extraction.convert_blocks(parse_files(files), rule_provider(rule), config.Config(request_tokens=520, overlap_tokens=0), datetime.date(2020, 5, 1))
+    got = {r.doc_id: (r.survey_id, r.country_code, r.year, r.survey_name, r.language, r.is_incomplete, r.is_fallback) for r in out["metadata"].collect()}
+    told = ("X_1", "XXX", 2001, "X", "en")
+    assert got == {"one": (*told, False, False), "two": (*told, True, False), "three": (*told, True, False), "four": ("UNK_2020_SURVEY", "UNK", 2020, "Lab Force Four", None, True, True)}
+    assert out["metadata_calls"].filter("doc_id = 'four' and reason = 'invalid_response'").count() == 1
+
+
 def test_reconcile(spark):
     inv = spark.createDataFrame([("n1", "q1", "a", 1), ("n2", "q2", "a", 2), ("n3", "q2", "b", 3), ("n4", "q4", "b", 4)], "node_id string, alias string, section string, source_order int").withColumn("kind", F.lit("question")).withColumn("k", F.lit(1))
     rows = [("q1", "q2", "a", None, None, "forward"), ("q1", "q2", "a", "b", '{"op":"opaque","raw":"x"}', "forward"), ("q1", "zz", "a", None, None, "forward"), ("q4", "q1", "b", None, None, "native")]
