@@ -166,14 +166,15 @@ def numbered_lines(blocks: DataFrame) -> DataFrame:
 
 def furniture_lines(blocks: DataFrame) -> DataFrame:
     """``block_key, line_no`` of running titles and page numbers."""
+    page = F.col("bare").rlike(PAGE_LINE) | F.col("bare").rlike(CODED_PAGE_LINE)
     short = (
         numbered_lines(blocks)
         .withColumn("bare", F.trim("line"))
         .filter((F.col("bare") != "") & (F.char_length("bare") <= TITLE_LENGTH + 10))
-        # Before the other patterns: a title begins with a capital, no letter or a page number, and a bare page number is short.
-        .filter((F.char_length("bare") <= PAGE_LENGTH) | (F.lower(F.substring("bare", 1, 1)) != F.substring("bare", 1, 1)) | (F.upper(F.substring("bare", 1, 1)) == F.substring("bare", 1, 1)) | F.col("bare").rlike(rf"(?U)^{BESIDE}\s{{2,}}"))
+        # Before the other patterns: a title begins with a capital, no letter or a page number; other lines are kept only as page numbers.
+        .filter((F.char_length("bare") <= PAGE_LENGTH) | (F.lower(F.substring("bare", 1, 1)) != F.substring("bare", 1, 1)) | (F.upper(F.substring("bare", 1, 1)) == F.substring("bare", 1, 1)) | F.col("bare").rlike(rf"(?U)^{BESIDE}\s{{2,}}") | page)
         .filter(F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(" "))) <= TITLE_WORDS + PAGE_LENGTH)
-        .withColumn("page", F.col("bare").rlike(PAGE_LINE) | F.col("bare").rlike(CODED_PAGE_LINE))
+        .withColumn("page", page)
         .withColumn("shape", _title_shape(F.col("line")))
     )
     # A line that can't be a title or a page number isn't kept: few titles are as long as body lines, and none ends like a sentence's end.

@@ -71,3 +71,12 @@ def test_roman_page_numbers_beside_titles(spark):
     schema = "block_key long, doc_id string, ord int, text string, page int, pages array<int>, table_rows array<array<string>>, section_path array<string>"
     found = furniture_lines(spark.createDataFrame(blocks_of(pages), schema))
     assert {(r.block_key, r.line_no) for r in found.collect()} == {(n, 1) for n in range(1, 8)}
+
+
+def test_page_numbers_after_lower_case_words(spark):
+    from tessella.llm.scan_noise import furniture_lines
+
+    pages = ["the owner\npágina 104", "page 12 of 340\nthe owner", "the owner\nzud_1998_lfsq | ii", "the owner of a field\nasked the teacher"]
+    schema = "block_key long, doc_id string, ord int, text string, page int, pages array<int>, table_rows array<array<string>>, section_path array<string>"
+    found = furniture_lines(spark.createDataFrame(blocks_of(pages), schema))
+    assert {(r.block_key, r.line_no) for r in found.collect()} == {(1, 2), (2, 1), (3, 2)}
