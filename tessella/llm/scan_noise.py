@@ -24,14 +24,19 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from tessella.operators.ordered import ordered_fold
 from tessella.runtime import cut_lineage, read_table, spread
 
 MAX_WORDS = 1_000_000
 MOST_CONFUSIONS = 3
+#: Characters of a title that may be misread: one, or one in twelve, and no more than these.
+MOST_MISREAD = 3
 TITLE_LENGTH = 60
 TITLE_WORDS = 6
 #: A page number without a word before it; also the blanks that may part a number from a title.
@@ -120,31 +125,33 @@ def confusable_variants(spark: SparkSession, words: list[str]) -> DataFrame:
     return reduce(DataFrame.unionAll, levels).distinct()
 
 
+#: Rows of the table of variants that is shipped to all tasks.
+MOST_VARIANTS = 20_000_000
+
+
 def corrections(rare: DataFrame, frequent: DataFrame, words: list[str]) -> DataFrame:
-    """``token, word``: the best explanation of each rare word; ``frequent`` has word and n, the counts of listed words."""
-    spark = rare.sparkSession
-    variants = F.broadcast(confusable_variants(spark, words))
+    """``token, word``: the best explanation of each rare word; ``frequent`` has word and n, the counts of listed words.
+
+    The variants of the word list are shipped to the rare words if they are few enough, else joined by hash.
+    """
+    variants = confusable_variants(rare.sparkSession, words)
+    # A word of 30 characters has some 30 places for a confusion; the bound is checked, not guessed, where it may be passed.
+    if len(words) <= 5_000 or variants.count() <= MOST_VARIANTS:
+        variants = F.broadcast(variants)
 
-    @F.udf("struct<edits:int,rank:int>", useArrow=False)
-    def explain(word, token):
-        return explains(word, _plain(token))
+    @F.pandas_udf("edits int, rank int")
+    def explain(listed: pd.Series, tokens: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([explains(w, t.lower()) or (0, 0) for w, t in zip(listed, tokens)], columns=["edits", "rank"])
 
-    lowered = F.lower("token")
-    near = rare.withColumn("hash", anagram_hash(lowered)).join(variants, "hash").withColumn("why", explain("word", "token")).filter("why is not null")
+    near = rare.withColumn("hash", anagram_hash(F.lower("token"))).join(variants, "hash").withColumn("why", explain("word", "token")).filter("why.edits > 0")
     # A capitalised word is taken for a name unless it begins like the listed word; capitals may only be misread as digits.
     first = F.substring("token", 1, 1)
     capital = (F.upper(first) == first) & (F.lower(first) != first)
     shouting = (F.upper("token") == F.col("token")) & (F.lower("token") != F.col("token")) & (F.length("token") > 1)
     fits = F.when(shouting, F.col("token").rlike(r"[0-9]")).when(capital, (F.lower(first) == F.substring("word", 1, 1)) | (first == "I")).otherwise(F.lit(True))
-    rank = Window.partitionBy("token").orderBy(F.col("why.edits"), F.col("n").desc(), F.col("why.rank"), "word")
-    return (
-        near.filter(fits).join(F.broadcast(frequent.hint("broadcast")), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("place", F.row_number().over(rank)).filter("place = 1").select("token", "word")
-    )
-
-
-def _plain(token: str) -> str:
-    return token.lower()
+    told = near.filter(fits).join(F.broadcast(frequent), "word", "left")
+    best = F.struct("why.edits", (-F.coalesce("n", F.lit(0))).alias("seldom"), "why.rank", "word")
+    return told.groupBy("token").agg(F.min(best)["word"].alias("word"))
 
 
 # --- furniture ------------------------------------------------------------------------------------------------------
@@ -156,63 +163,63 @@ def _title_shape(line: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
-def numbered_lines(blocks: DataFrame) -> DataFrame:
-    """block_key, doc_id, ord, line_no, line, is_edge (first or last of the block), may_turn (block may hold a page's end), blank lines left out."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), F.rtrim(F.regexp_replace(x, "\r$", "")).alias("line")))
-    filled = blocks.filter("text is not null").withColumn("body", F.filter(lines, lambda x: F.ltrim(x["line"]) != ""))
-    numbered = filled.select("block_key", "doc_id", "ord", (F.coalesce(F.size("pages"), F.lit(0)) != 1).alias("may_turn"), F.size("body").alias("n"), F.posexplode("body").alias("at", "l"))
-    return numbered.select("block_key", "doc_id", "ord", F.col("l.no").alias("line_no"), F.col("l.line").alias("line"), "may_turn", ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1)).alias("is_edge"))
+def short_lines(blocks: DataFrame) -> DataFrame:
+    """block_key, doc_id, ord, line_no, is_edge (first or last of the block), may_turn (block may hold a page's end), page, shape.
+
+    Lines that may be a page number or a title; page tells a number, shape is the line without one beside it. A block's
+    lines are told apart inside one array, so that each pattern is tried once a line, and most lines leave at a glance.
+    """
+    filled = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), F.rtrim(F.regexp_replace(x, "\r$", "")).alias("line"))), lambda x: F.ltrim(x["line"]) != "")
+    body = blocks.filter("text is not null").withColumn("body", filled)
+    bare = lambda x: F.trim(x["line"])
+    spaces = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" ")))
+    head = lambda t: F.substring(t, 1, 1)
+    page = lambda t: t.rlike(PAGE_LINE) | t.rlike(CODED_PAGE_LINE)
+    placed = F.transform("body", lambda x, at: F.struct(x["no"].alias("no"), x["line"].alias("line"), bare(x).alias("bare"), ((at == 0) | (at == F.size("body") - 1)).alias("is_edge")))
+    near = F.filter(placed, lambda x: (F.char_length(x["bare"]) <= TITLE_LENGTH + 10) & (spaces(x["bare"]) <= TITLE_WORDS + PAGE_LENGTH))
+    # A title begins with a capital, no letter or a page number; other lines are kept only as page numbers.
+    capital = lambda t: (F.lower(head(t)) != head(t)) | (F.upper(head(t)) == head(t))
+    asked = F.filter(near, lambda x: (F.char_length(x["bare"]) <= PAGE_LENGTH) | capital(x["bare"]) | x["bare"].rlike(rf"(?U)^{BESIDE}\s{{2,}}") | page(x["bare"]))
+    told = F.transform(asked, lambda x: F.struct(x["no"].alias("line_no"), x["is_edge"].alias("is_edge"), page(x["bare"]).alias("page"), _title_shape(x["line"]).alias("shape")))
+    may_turn = (F.coalesce(F.size("pages"), F.lit(0)) != 1).alias("may_turn")
+    return body.select("block_key", "doc_id", "ord", may_turn, F.explode(told).alias("l")).select("block_key", "doc_id", "ord", "may_turn", "l.*")
 
 
 def furniture_lines(blocks: DataFrame) -> DataFrame:
-    """``block_key, line_no`` of running titles and page numbers."""
-    page = F.col("bare").rlike(PAGE_LINE) | F.col("bare").rlike(CODED_PAGE_LINE)
-    short = (
-        numbered_lines(blocks)
-        .withColumn("bare", F.trim("line"))
-        .filter((F.col("bare") != "") & (F.char_length("bare") <= TITLE_LENGTH + 10))
-        # Before the other patterns: a title begins with a capital, no letter or a page number; other lines are kept only as page numbers.
-        .filter((F.char_length("bare") <= PAGE_LENGTH) | (F.lower(F.substring("bare", 1, 1)) != F.substring("bare", 1, 1)) | (F.upper(F.substring("bare", 1, 1)) == F.substring("bare", 1, 1)) | F.col("bare").rlike(rf"(?U)^{BESIDE}\s{{2,}}") | page)
-        .filter(F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(" "))) <= TITLE_WORDS + PAGE_LENGTH)
-        .withColumn("page", page)
-        .withColumn("shape", _title_shape(F.col("line")))
-    )
+    """``block_key, line_no`` of running titles and page numbers; a line may come twice."""
     # A line that can't be a title or a page number isn't kept: few titles are as long as body lines, and none ends like a sentence's end.
     words = F.size(F.split("shape", " "))
     head = F.substring("shape", 1, 1)
     title_like = (
-        (F.char_length("shape").between(4, TITLE_LENGTH))
+        ~F.col("page")
+        & F.char_length("shape").between(4, TITLE_LENGTH)
         & (words <= TITLE_WORDS)
         & ((F.lower(head) != head) | head.rlike(r"[0-9~.]"))
-        & ~F.col("shape").rlike(r"^[0-9]+\.[0-9]+\s")
         & ~F.col("shape").rlike(r"[,;:!?)]$")
+        & ~F.col("shape").rlike(r"^[0-9]+\.[0-9]+\s")
         & F.col("shape").rlike(r"\p{L}{3}")
-        & ~F.col("page")
     )
-    kept = cut_lineage(short.withColumn("titled", title_like).filter("page or titled").select("block_key", "doc_id", "ord", "line_no", "is_edge", "may_turn", "page", "titled", "shape"))
+    kept = cut_lineage(short_lines(blocks).withColumn("titled", title_like).filter("page or titled"))
     numbers = kept.filter("page and (is_edge or may_turn)").select("block_key", "line_no")
-    edges = kept.filter("titled and is_edge and not endswith(shape, '.')").groupBy("doc_id", "shape").agg(F.countDistinct("ord").alias("n"))
+    ends = kept.filter("titled and is_edge and not endswith(shape, '.')").groupBy("doc_id", "shape").agg(F.countDistinct("ord").alias("n"))
+    # What vouches for a title seen seldom: its ending or beginning in titles of other documents, or its document's own
+    # name beside it, an ending that begins with a dash and comes back in the document.
     tail, front = F.regexp_extract("shape", r"^\S+ (.*)$", 1), F.regexp_extract("shape", r"^(.*) \S+$", 1)
-    ends = edges.withColumn("tail", tail).withColumn("front", front)
-    often = ends.filter(F.col("n") >= OFTEN)
-    vouched = ends.filter("n >= 2").select("doc_id", F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("tail").alias("words")), F.struct(F.lit("f").alias("side"), F.col("front").alias("words")))).alias("e"))
-    vouched = vouched.filter("e.words != ''").groupBy("e.side", "e.words").agg(F.countDistinct("doc_id").alias("n_docs")).filter(F.col("n_docs") >= VOUCHERS)
-    seldom = ends.filter(F.col("n") < OFTEN)
-    by_tail = seldom.join(vouched.filter("side = 't'").select(F.col("words").alias("tail")), "tail", "left_semi").select("doc_id", "shape")
-    by_front = seldom.join(vouched.filter("side = 'f'").select(F.col("words").alias("front")), "front", "left_semi").select("doc_id", "shape")
-    # Sections named beside the document's own name: an ending that begins with a dash and comes back in the document.
-    named = ends.filter(F.col("tail").rlike("^[–—-] ")).groupBy("doc_id", "tail").agg(F.sum("n").alias("n")).filter("n >= 2")
-    by_name = seldom.join(named, ["doc_id", "tail"], "left_semi").select("doc_id", "shape")
-    titles = often.select("doc_id", "shape").unionAll(by_tail).unionAll(by_front).unionAll(by_name).distinct()
+    sign = lambda side, words, own: F.struct(F.lit(side).alias("side"), words.alias("words"), own.alias("own"))
+    signs = ends.select("doc_id", "shape", "n", F.explode(F.array(sign("t", tail, F.lit("")), sign("f", front, F.lit("")), sign("d", F.when(tail.rlike("^[–—-] "), tail).otherwise(""), F.col("doc_id")))).alias("s"))
+    signs = cut_lineage(signs.filter("s.words != ''").select("doc_id", "shape", "n", "s.side", "s.words", "s.own"))
+    seen = signs.filter("n >= 2 or side = 'd'").groupBy("side", "words", "own", "doc_id").agg(F.sum("n").alias("n")).groupBy("side", "words", "own").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_seen"))
+    vouched = seen.filter((F.col("n_docs") >= F.when(F.col("side") == "d", 1).otherwise(VOUCHERS)) & (F.col("n_seen") >= 2)).select("side", "words", F.col("own").alias("whose"))
+    known = signs.filter(F.col("n") < OFTEN).join(vouched, (signs.side == vouched.side) & (signs.words == vouched.words) & F.equal_null(signs.own, vouched.whose), "left_semi")
+    titles = known.select("doc_id", "shape").unionAll(ends.filter(F.col("n") >= OFTEN).select("doc_id", "shape"))
     # Equal but for misread characters, which keep the length or nearly so: an equi-join on document and length.
     near = titles.select("doc_id", F.col("shape").alias("title"), F.explode(F.sequence(F.char_length("shape") - 1, F.char_length("shape") + 1)).alias("length"))
     matched = (
         kept.filter("titled").withColumn("length", F.char_length("shape")).join(near, ["doc_id", "length"])
-        .filter(F.levenshtein(F.lower("shape"), F.lower("title"), 3) >= 0)
-        .filter(F.levenshtein(F.lower("shape"), F.lower("title")) <= F.greatest(F.lit(1), F.floor(F.col("length") / 12)))
+        .filter(F.levenshtein(F.lower("shape"), F.lower("title"), MOST_MISREAD).between(F.lit(0), F.greatest(F.lit(1), F.floor(F.col("length") / 12))))
         .select("block_key", "line_no")
     )
-    return numbers.unionAll(matched).distinct()
+    return numbers.unionAll(matched)
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
@@ -222,41 +229,44 @@ _UNIT_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _batch(rows: list[tuple], schema: str, types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], [f.split(" ")[0] for f in schema.split(", ")])
+
+
 def _units(words: frozenset):
-    """Of each block: unlisted words, words divided at line ends, an open end, the first word; counts of listed words."""
+    """Of each block: unlisted words, words divided at line ends, an open end, the first word; counts of listed words.
+
+    The first word is given as such even if it is listed; its ``n`` is 1 if it is an unlisted word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Counter = Counter()
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _UNIT_TYPES)], [f.split(" ")[0] for f in _UNITS.split(", ")])
-
         for batch in batches:
             rows = []
             for block_key, doc_id, ord_, text, skip in zip(*(c.to_pylist() for c in batch.columns)):
                 skip = set(skip or ())
                 body = [(no, w) for no, line in enumerate(text.split("\n"), 1) if no not in skip and (w := line.split())]
-                if not body:
-                    continue
-                first_no, first = body[0]
-                rows.append((block_key, doc_id, ord_, first_no, "first", first[0].strip(AROUND), None, None, 0))
                 divided = False
                 for k, (no, tokens) in enumerate(body):
                     last = tokens[-1]
                     opens = len(last) > 1 and last[-1] in DIVIDERS and last[-2] not in DIVIDERS
-                    for token in tokens[1 if divided else 0 : len(tokens) - 1 if opens else len(tokens)]:
-                        low = token.lower()
-                        if low in words:
-                            known[low] += 1
+                    for at, token in enumerate(tokens[: len(tokens) - 1] if opens else tokens):
+                        if divided and not at:
                             continue
-                        bare = token.strip(AROUND)
-                        low = bare.lower()
+                        low = token.lower()
+                        bare = token if low in words else token.strip(AROUND)
+                        low = low if low in words else bare.lower()
+                        unlisted = low not in words and bool(_LETTER.search(bare))
                         if low in words:
                             known[low] += 1
-                        elif _LETTER.search(bare) and len(bare) < 60:
+                        if not k and not at:
+                            # Of the first word nothing is known yet: it may go on a divided word (told apart later).
+                            rows.append((block_key, doc_id, ord_, no, "first", token.strip(AROUND), None, None, int(unlisted)))
+                        elif unlisted:
                             rows.append((block_key, doc_id, ord_, no, "inner", bare, None, None, 1))
-                    # Of the first token of the block nothing is known yet: it may go on a divided word (told apart later).
                     if opens:
+                        if not k and len(tokens) == 1:
+                            rows.append((block_key, doc_id, ord_, no, "first", last.strip(AROUND), None, None, 0))
                         left = last[:-1].lstrip(AROUND)
                         if k + 1 < len(body):
                             after_no, after = body[k + 1]
@@ -265,74 +275,97 @@ def _units(words: frozenset):
                             rows.append((block_key, doc_id, ord_, no, "open", left, None, None, 1))
                     divided = opens
             if rows:
-                yield out(rows)
+                yield _batch(rows, _UNITS, _UNIT_TYPES)
         if known:
-            yield out([(None, None, None, None, "known", w, None, None, n) for w, n in known.items()])
+            yield _batch([(None, None, None, None, "known", w, None, None, n) for w, n in known.items()], _UNITS, _UNIT_TYPES)
 
     return run
 
 
-def _following(firsts: DataFrame) -> DataFrame:
-    """``doc_id, ord, next_ord, next_word`` of blocks with text: two levels of windows, so that a long document is no one task's."""
-    own = firsts.groupBy("doc_id", "ord").agg(F.min_by("left", "block_key").alias("word")).withColumn("bucket", F.floor(F.col("ord") / BUCKET))
-    inner = Window.partitionBy("doc_id", "bucket").orderBy("ord")
-    near = own.withColumn("next", F.lead(F.struct("ord", "word")).over(inner))
-    outer = Window.partitionBy("doc_id").orderBy("bucket")
-    buckets = own.groupBy("doc_id", "bucket").agg(F.min(F.struct("ord", "word")).alias("start")).withColumn("later", F.lead("start").over(outer)).select("doc_id", "bucket", "later")
-    return near.join(buckets, ["doc_id", "bucket"], "left").withColumn("next", F.coalesce("next", "later")).select("doc_id", "ord", F.col("next.ord").alias("next_ord"), F.col("next.word").alias("next_word"))
+_HALVES = "block_key long, line_no int, left string, right string, right_key long, right_line int, plain string, compound string, plain_listed boolean, comp_listed boolean"
+_HALF_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+
+
+def _spelled(words: frozenset):
+    """Both halves of divided words, whole and with a hyphen, and whether the list has these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                plain, compound = row[2] + row[3], f"{row[2]}-{row[3]}"
+                rows.append((*row, plain, compound, plain.lower() in words, compound.lower() in words))
+            if rows:
+                yield _batch(rows, _HALVES, _HALF_TYPES)
+
+    return run
+
+
+def _onward(units: DataFrame) -> DataFrame:
+    """``doc_id, ord, block_key, line_no, left, next_ord, next_word`` of open ends with a following block.
+
+    Two levels of windows, so that a long document is no one task's: read backwards, an open end meets the first word of
+    the block after it (of copies the smallest block_key's) in its own bucket of the document, else that of a later one.
+    """
+    placed = units.filter("role in ('first', 'open') and doc_id is not null and ord is not null").withColumn("bucket", F.floor(F.col("ord") / BUCKET))
+    first = F.when(F.col("role") == "first", F.struct(F.col("ord").alias("ord"), F.col("block_key").alias("key"), F.col("left").alias("word")))
+    # Of equal ord open ends come before first words, so no block follows itself.
+    back = Window.partitionBy("doc_id", "bucket").orderBy(F.col("ord").desc(), F.col("role").desc(), F.col("block_key").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = placed.withColumn("next", F.last(first, ignorenulls=True).over(back)).filter("role = 'open'")
+    starts = placed.groupBy("doc_id", "bucket").agg(F.min(first).alias("start"))
+    later = starts.withColumn("later", F.first("start", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy(F.col("bucket")).rowsBetween(1, Window.unboundedFollowing))).select("doc_id", "bucket", "later")
+    told = near.join(later, ["doc_id", "bucket"], "left").withColumn("next", F.coalesce("next", "later")).filter("next is not null")
+    return told.select("doc_id", "ord", "block_key", "line_no", "left", F.col("next.ord").alias("next_ord"), F.col("next.word").alias("next_word"))
 
 
 def find_noise(blocks: DataFrame, word_list: DataFrame) -> dict[str, DataFrame]:
-    """furniture (block_key, line_no); divided (both halves, the listed word, is_hyphen); misread (block_key, line_no, token, word)."""
-    spark = blocks.sparkSession
+    """furniture (block_key, line_no), skips (as arrays); divided (both halves, the listed word, is_hyphen); misread (block_key, line_no, token, word)."""
     words = collect_words(word_list)
     shipped = frozenset(words)
     slim = spread(blocks.select(F.col("block_key").cast("long").alias("block_key"), "doc_id", F.col("ord").cast("int").alias("ord"), "text", "pages"))
-    furniture = cut_lineage(furniture_lines(slim))
-    skips = furniture.groupBy("block_key").agg(F.collect_set("line_no").alias("skip"))
+    # A block's furniture is no more than its lines.
+    skips = cut_lineage(furniture_lines(slim).groupBy("block_key").agg(F.collect_set("line_no").alias("skip")))
     texts = slim.filter("length(trim(text)) > 0").select("block_key", "doc_id", "ord", "text").join(skips, "block_key", "left")
     units = cut_lineage(texts.select("block_key", "doc_id", "ord", "text", "skip").mapInArrow(_units(shipped), _UNITS))
 
-    firsts = units.filter("role = 'first'").select("block_key", "doc_id", "ord", "line_no", "left")
-    opens = units.filter("role = 'open'").select("block_key", "doc_id", "ord", "line_no", "left")
-    following = _following(firsts.filter("doc_id is not null and ord is not null")).filter("next_ord is not null")
-    over = opens.join(following, ["doc_id", "ord"]).select("block_key", "doc_id", "ord", "line_no", "left", F.col("next_word").alias("right"), "next_ord")
-    first_lines = firsts.select("doc_id", F.col("ord").alias("next_ord"), F.col("block_key").alias("right_key"), F.col("line_no").alias("right_line"))
+    firsts = units.filter("role = 'first'")
+    over = cut_lineage(_onward(units))
     # The half on the next page, in each copy of its block.
-    onward = over.select("doc_id", "left", "right", "next_ord").distinct().join(first_lines, ["doc_id", "next_ord"])
-    within = units.filter("role = 'divided'")
-    halves = within.select("block_key", "line_no", "left", "right", F.col("block_key").alias("right_key"), "right_line").unionByName(over.select("block_key", "line_no", "left", "right", F.lit(None).cast("long").alias("right_key"), F.lit(None).cast("int").alias("right_line")))
-    halves = halves.unionByName(onward.select(F.lit(None).cast("long").alias("block_key"), F.lit(None).cast("int").alias("line_no"), "left", "right", "right_key", "right_line"))
-    halves = halves.filter("right != ''").withColumn("plain", F.concat("left", "right")).withColumn("compound", F.concat_ws("-", "left", "right"))
+    first_lines = firsts.select("doc_id", F.col("ord").alias("next_ord"), F.col("block_key").alias("right_key"), F.col("line_no").alias("right_line"))
+    onward = cut_lineage(over.select("doc_id", "next_ord", "left", F.col("next_word").alias("right")).distinct().join(first_lines, ["doc_id", "next_ord"]).select("left", "right", "right_key", "right_line"))
+    none = lambda kind: F.lit(None).cast(kind)
+    ends = ["block_key", "line_no", "left", "right", "right_key", "right_line"]
+    halves = units.filter("role = 'divided'").withColumn("right_key", F.col("block_key")).select(*ends)
+    halves = halves.unionByName(over.select("block_key", "line_no", "left", F.col("next_word").alias("right"), none("long").alias("right_key"), none("int").alias("right_line")))
+    halves = halves.unionByName(onward.select(none("long").alias("block_key"), none("int").alias("line_no"), "left", "right", "right_key", "right_line"))
+    halves = cut_lineage(halves.filter("right != ''").mapInArrow(_spelled(shipped), _HALVES))
 
     # First words of blocks that go on a divided word are no words of their own.
     going_on = onward.select(F.col("right_key").alias("block_key"), F.col("right_line").alias("line_no"), F.col("right").alias("left")).distinct()
-    inner = units.filter("role = 'inner'").select("block_key", "line_no", F.col("left").alias("token"))
-    inner = inner.join(going_on.withColumnRenamed("left", "token"), ["block_key", "line_no", "token"], "left_anti")
-
-    listed = spark.createDataFrame([(w,) for w in words], "word string")
+    alone = firsts.filter("n = 1").join(going_on, ["block_key", "line_no", "left"], "left_anti")
+    inner = units.filter("role = 'inner'").select("block_key", "line_no", F.col("left").alias("token")).unionByName(alone.select("block_key", "line_no", F.col("left").alias("token")))
+
+    # Every spelling that the list doesn't have is looked up once, whoever asks; halves ask for both of theirs.
+    unknown = halves.filter("not plain_listed and not comp_listed")
+    spelling = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("token")) for k, c in (("plain", "plain"), ("compound", "compound"))))).alias("s")
+    asked = inner.select(*(none(k).alias(c) if c not in inner.columns else c for c, k in zip(ends, ("long", "int", "string", "string", "long", "int"))), F.lit("inner").alias("kind"), "token")
+    asked = cut_lineage(asked.unionByName(unknown.select(*ends, spelling).select(*ends, "s.kind", "s.token")))
     frequent = units.filter("role = 'known'").groupBy(F.col("left").alias("word")).agg(F.sum("n").alias("n"))
-    whole = F.broadcast(listed.withColumnRenamed("word", "low"))
-    spelled = halves.join(whole.select(F.col("low").alias("plain_low"), F.lit(True).alias("plain_listed")), F.lower("plain") == F.col("plain_low"), "left")
-    spelled = spelled.join(whole.select(F.col("low").alias("comp_low"), F.lit(True).alias("comp_listed")), F.lower("compound") == F.col("comp_low"), "left")
-    spelled = cut_lineage(spelled.select("block_key", "line_no", "left", "right", "right_key", "right_line", "plain", "compound", F.coalesce("plain_listed", F.lit(False)).alias("plain_listed"), F.coalesce("comp_listed", F.lit(False)).alias("comp_listed")))
-    unknown = spelled.filter("not plain_listed and not comp_listed")
-    rare = inner.select("token").unionAll(unknown.select("plain")).unionAll(unknown.select("compound")).distinct()
-    fixed = cut_lineage(corrections(rare, frequent, words))
-    plain_fix, comp_fix = fixed.select(F.col("token").alias("plain"), F.col("word").alias("plain_word")), fixed.select(F.col("token").alias("compound"), F.col("word").alias("comp_word"))
-    divided = spelled.join(plain_fix, "plain", "left").join(comp_fix, "compound", "left")
-    divided = divided.withColumn("is_hyphen", F.col("plain_listed") | (~F.col("comp_listed") & F.col("plain_word").isNotNull()))
-    divided = divided.withColumn("word", F.when(F.col("plain_listed"), F.lower("plain")).when(F.col("comp_listed"), F.lower("compound")).otherwise(F.coalesce("plain_word", "comp_word"))).filter("word is not null")
-    misread_halves = divided.filter("not plain_listed and not comp_listed")
+    answered = cut_lineage(asked.join(corrections(asked.select("token").distinct(), frequent, words), "token"))
+
+    told = answered.filter("kind != 'inner'").groupBy(*ends).agg(F.max(F.when(F.col("kind") == "plain", F.col("word"))).alias("plain_word"), F.max(F.when(F.col("kind") == "compound", F.col("word"))).alias("comp_word"))
+    guessed = cut_lineage(told.select(*ends, F.coalesce("plain_word", "comp_word").alias("word"), F.col("plain_word").isNotNull().alias("is_hyphen")))
+    listed = halves.filter("plain_listed or comp_listed").select(*ends, F.lower(F.when(F.col("plain_listed"), F.col("plain")).otherwise(F.col("compound"))).alias("word"), F.col("plain_listed").alias("is_hyphen"))
     left_bad = ~F.col("word").startswith(F.lower("left"))
     right_bad = ~F.col("word").endswith(F.lower("right"))
     misread = (
-        inner.join(fixed, "token").select("block_key", "line_no", "token", "word")
-        .unionByName(misread_halves.filter(left_bad).select("block_key", "line_no", F.col("left").alias("token"), "word"))
-        .unionByName(misread_halves.filter(right_bad).select(F.col("right_key").alias("block_key"), F.col("right_line").alias("line_no"), F.col("right").alias("token"), "word"))
+        answered.filter("kind = 'inner'").select("block_key", "line_no", "token", "word")
+        .unionByName(guessed.filter(left_bad).select("block_key", "line_no", F.col("left").alias("token"), "word"))
+        .unionByName(guessed.filter(right_bad).select(F.col("right_key").alias("block_key"), F.col("right_line").alias("line_no"), F.col("right").alias("token"), "word"))
         .filter("block_key is not null")
     )
-    return {"furniture": furniture, "divided": divided, "misread": misread}
+    furniture = skips.select("block_key", F.explode("skip").alias("line_no"))
+    return {"furniture": furniture, "skips": skips, "divided": listed.unionByName(guessed), "misread": misread}
 
 
 # --- paragraphs -----------------------------------------------------------------------------------------------------
@@ -349,7 +382,7 @@ def _like(word: str, model: str) -> str:
     return word[:1].upper() + word[1:] if model[:1].isupper() else word
 
 
-def _spelled(token: str, word: str) -> str:
+def _corrected(token: str, word: str) -> str:
     """A token with its punctuation around the corrected word."""
     bare = token.strip(AROUND)
     return token.replace(bare, _like(word, bare), 1) if bare else token
@@ -371,7 +404,7 @@ def repair(text: str, skip: set[int], fixes: dict[tuple[int, str], str], joins:
         if not tokens:
             fresh = True
             continue
-        tokens = [_spelled(t, fixes[no, b]) if (b := t.strip(AROUND)) and (no, b) in fixes else t for t in tokens]
+        tokens = [_corrected(t, fixes[no, b]) if (b := t.strip(AROUND)) and (no, b) in fixes else t for t in tokens]
         section = bool(_SECTION.match(raw))
         new = not pending and (fresh or section or raw.startswith("  "))
         if not paragraphs or new:
@@ -415,12 +448,11 @@ def repaired_paragraphs(blocks: DataFrame, word_list: DataFrame) -> DataFrame:
     place in a document.
     """
     noise = find_noise(blocks, word_list)
-    skips = noise["furniture"].groupBy("block_key").agg(F.collect_set("line_no").alias("skip"))
     fixes = noise["misread"].filter("block_key is not null").groupBy("block_key").agg(F.collect_set(F.struct("line_no", "token", "word")).alias("fixes"))
     joins = noise["divided"].filter("block_key is not null").groupBy("block_key").agg(F.collect_set(F.struct("line_no", "is_hyphen", "word", F.col("right_key").isNotNull().alias("whole"))).alias("joins"))
     once = blocks.filter("doc_id is not null and ord is not null and length(trim(text)) > 0").groupBy("doc_id", "ord").agg(F.min(F.struct(F.col("block_key").cast("long").alias("block_key"), "text")).alias("b"))
     texts = once.select("doc_id", F.col("ord").cast("int").alias("ord"), "b.block_key", "b.text")
-    ready = texts.join(skips, "block_key", "left").join(fixes, "block_key", "left").join(joins, "block_key", "left")
+    ready = texts.join(noise["skips"], "block_key", "left").join(fixes, "block_key", "left").join(joins, "block_key", "left")
     pieces = cut_lineage(ready.select("doc_id", "ord", "text", "skip", "fixes", "joins").mapInArrow(_repair_blocks, _PIECES))
     # A piece begins a paragraph if it says so or the piece before closes one; numbers are counted bucket by bucket.
     place = pieces.withColumn("bucket", F.floor(F.col("ord") / BUCKET))
@@ -429,9 +461,17 @@ def repaired_paragraphs(blocks: DataFrame, word_list: DataFrame) -> DataFrame:
     told = place.join(ends, ["doc_id", "bucket"]).withColumn("starts", F.when(F.col("opens") | F.coalesce(F.lag("closes").over(inner), F.col("before"), F.lit(True)), 1).otherwise(0))
     counts = told.groupBy("doc_id", "bucket").agg(F.sum("starts").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("doc_id", "bucket", "base")
     numbered = told.join(counts, ["doc_id", "bucket"]).withColumn("paragraph_no", F.col("base") + F.sum("starts").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.sort_array(F.collect_list(F.struct("ord", "piece_no", "text", "joint")))
-    joined = F.aggregate("parts", F.struct(F.lit("").alias("text"), F.lit("").alias("joint")), lambda s, p: F.struct(F.concat(s["text"], s["joint"], p["text"]).alias("text"), p["joint"].alias("joint")), lambda s: s["text"])
-    return numbered.groupBy("doc_id", "paragraph_no").agg(parts.alias("parts")).select("doc_id", "paragraph_no", F.element_at("parts", 1)["ord"].alias("first_ord"), joined.alias("text"))
+    schema = StructType([numbered.schema["doc_id"], numbered.schema["paragraph_no"], StructField("first_ord", IntegerType()), StructField("text", StringType())])
+
+    def step(paragraph, row):
+        paragraph.setdefault("first", (row["doc_id"], row["paragraph_no"], row["ord"]))
+        paragraph.setdefault("text", []).extend((row["text"], row["joint"]))
+        return []
+
+    def finish(paragraph, key):
+        return [(*paragraph["first"], "".join(paragraph["text"][:-1]))]
+
+    return ordered_fold(numbered.select("doc_id", "paragraph_no", "ord", "piece_no", "text", "joint"), ["doc_id", "paragraph_no"], ["ord", "piece_no"], dict, step, finish, schema)
 
 
 def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
