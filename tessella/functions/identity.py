@@ -43,7 +43,7 @@ def alias(text: str) -> str:
 
 def section_path(parts) -> str:
     """Slugs of a section path joined by a stroke; ``root`` for none."""
-    return "/".join(slug(p) for p in parts or ()) or "root"
+    return "/".join(slug(p) for p in (() if parts is None else parts)) or "root"
 
 
 def quote_text(text: str, fold: bool = True) -> str:

@@ -1,68 +1,128 @@
-"""Secrets taken out of texts and nested data."""
+"""Secrets taken out of texts and nested data.
+
+A text is read once from left to right by one pattern that the JVM, Python and other SQL engines understand alike: at each
+place it tells a header (to its line's end), a quoted assignment, a plain assignment or a query parameter, and masks the
+value. User names in URLs go first, known values before that.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from urllib.parse import unquote
+from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What stands for a secret, and the keys whose values are secrets.
+#: What stands for a secret; words of names whose values are secrets; names of query parameters that are.
 MASK = "[REDACTED]"
-SENSITIVE = ("api_key", "apikey", "api-key", "access_token", "authorization", "client_secret", "credential", "password", "passwd", "private_key", "refresh_token", "secret", "signature", "token")
-QUERY_KEYS = ("access_token", "api_key", "api-key", "apikey", "auth", "code", "key", "password", "secret", "sig", "signature", "token")
-
-_NAMES = "|".join(re.escape(n) for n in sorted(SENSITIVE, key=len, reverse=True))
-_HEADER = re.compile(r"(?i)\b((?:proxy-)?authorization\s*[:=]\s*)(?:(?:bearer|basic|token)\s+)?[^\s,;\"'<>]+")
-_SUBSCRIPTION = re.compile(r"(?i)\b(ocp-apim-subscription-key\s*[:=]\s*)[^\s,;\"'<>]+")
-_USER_INFO = re.compile(r"(?i)\b([a-z][a-z0-9+.-]*://)[^/\s@]+@")
-_QUOTED = re.compile(rf"(?i)((?:\\?[\"'])?(?:[\w-]*(?:{_NAMES})[\w-]*)(?:\\?[\"'])?\s*[:=]\s*)(\\?[\"'])(.*?)(\2)")
-_PLAIN = re.compile(rf"(?i)\b([\w-]*(?:{_NAMES})[\w-]*\s*[:=]\s*)(?!\\?[\"'])[^\s,;&\"'<>]+")
-_QUERY = re.compile(r"([?&])([^=&#\s]+)=([^&#\s\"'<>]+)")
+SENSITIVE = (
+    "api key", "access token", "authorization", "bearer token", "client secret", "credential", "passwd", "password", "private key", "question text", "refresh token",
+    "secret", "signature", "subscription key", "token",
+)
+QUERY_KEYS = ("access token", "api key", "auth", "client secret", "code", "credential", "key", "ocp apim subscription key", "password", "secret", "sig", "signature", "subscription key", "token")
+#: Names whose values run to the end of their line; a sentence may speak of the others, so a name alone isn't one of these.
+HEADERS = ("authorization", "subscription key")
+
+
+def _names(names, between: str) -> str:
+    return "|".join(n.replace(" ", between) for n in names)
+
+
+_ASSIGNED = _names([n for n in SENSITIVE if n != "question text"], "[_-]?")
+_PARAMETER = _names(QUERY_KEYS, r"(?:[-_.+]|%2[de]|%5f|%20)*")
+_TO = r"[ \t]*[:=][ \t]*"
+URL_USER = r"(?i)(://)[^/@\s]+@"
+PATTERN = (
+    "(?i)"
+    rf"((?:{_names(HEADERS, '[_-]?')}){_TO})[^\r\n]+"
+    rf"|((?:{_ASSIGNED})[a-z0-9_-]*\\[\"']{_TO}\\[\"'])[^\r\n]*?(\\[\"'])"
+    rf"|((?:{_ASSIGNED})[a-z0-9_-]*[\"']?{_TO}\")[^\"]*(\")"
+    rf"|((?:{_ASSIGNED})[a-z0-9_-]*[\"']?{_TO}')[^']*(')"
+    rf"|((?:{_ASSIGNED})[a-z0-9_-]*{_TO})[^\s,;&#}}]+"
+    rf"|([?&](?:{_PARAMETER}|[^=&\s]*%[4-7][0-9a-f][^=&\s]*)=)[^&#\s]+"
+)
+_BEFORE, _AFTER = (1, 2, 4, 6, 8, 9), (3, 5, 7)
+_URL, _SCAN = re.compile(URL_USER), re.compile(PATTERN)
+_KEY = re.compile(f"(?i)(?:{_names(SENSITIVE, '[_-]?')})")
+_QUERY = frozenset(n.replace(" ", "") for n in QUERY_KEYS)
+
+
+def replacement(mark: str) -> str:
+    """What the pattern's matches become; ``mark`` is a dollar sign or a backslash, as the engine has it."""
+    return "".join(f"{mark}{n}" for n in _BEFORE) + MASK + "".join(f"{mark}{n}" for n in _AFTER)
 
 
 def is_sensitive_key(key: str) -> bool:
-    low = key.lower().replace("-", "_")
-    return any(n.replace("-", "_") in low for n in SENSITIVE)
+    return bool(_KEY.search(key))
 
 
 def is_sensitive_query_key(key: str) -> bool:
-    return unquote(key).lower() in QUERY_KEYS
+    return re.sub(r"[-_.\s]+", "", unquote_plus(key)).casefold() in _QUERY
+
+
+def _known(values) -> list[str]:
+    return sorted(filter(None, values), key=len, reverse=True)
 
 
 def redact_text(text: str | None, values: tuple[str, ...] = ()) -> str | None:
     """``text`` without headers, URL user names, assigned secrets, query secrets and the given values (longest first)."""
     if text is None:
         return None
-    for value in sorted(filter(None, values), key=len, reverse=True):
+    for value in _known(values):
         text = text.replace(value, MASK)
-    text = _HEADER.sub(rf"\g<1>{MASK}", text)
-    text = _SUBSCRIPTION.sub(rf"\g<1>{MASK}", text)
-    text = _USER_INFO.sub(rf"\g<1>{MASK}@", text)
-    text = _QUERY.sub(lambda m: f"{m[1]}{m[2]}={MASK}" if is_sensitive_query_key(m[2]) else m[0], text)
-    text = _QUOTED.sub(rf"\g<1>\g<2>{MASK}\g<4>", text)
-    return _PLAIN.sub(lambda m: m[0] if m[0].endswith(MASK) else m[1] + MASK, text)
+    return _SCAN.sub(replacement("\\"), _URL.sub(rf"\1{MASK}@", text))
 
 
 def redact_data(value, values: tuple[str, ...] = ()):
     """Nested data with the values of sensitive keys masked and texts redacted."""
-    if isinstance(value, dict):
-        return {k: MASK if is_sensitive_key(str(k)) else redact_data(v, values) for k, v in value.items()}
-    if isinstance(value, list):
-        return [redact_data(v, values) for v in value]
-    return redact_text(value, values) if isinstance(value, str) else value
+    match value:
+        case str():
+            return redact_text(value, values)
+        case BaseException():
+            return redact_error(value, values)
+        case dict():
+            return {k: MASK if isinstance(k, str) and is_sensitive_key(k) else redact_data(v, values) for k, v in value.items()}
+        case list() | tuple() | set():
+            return type(value)(redact_data(v, values) for v in value)
+    return value
+
+
+def _causes(error: BaseException) -> Iterator[BaseException]:
+    told = []
+    while error is not None and not any(error is e for e in told):
+        told.append(error)
+        yield error
+        error = error.__cause__ or error.__context__
+
+
+def redact_error(error: BaseException, values: tuple[str, ...] = ()) -> str:
+    """An error and what caused it, outermost first, each by its class and its redacted text; a circle ends where it closes."""
+    return " <- ".join(f"{type(e).__name__}: {redact_text(str(e), values)}" for e in _causes(error))
+
+
+def strings_of(value) -> list[str]:
+    """Every distinct text in nested data, keys left out, in order of appearance."""
+    found: dict[str, None] = {}
+    left = [value]
+    while left:
+        value = left.pop()
+        if isinstance(value, str):
+            found[value] = None
+        elif isinstance(value, dict):
+            left += reversed(value.values())
+        elif isinstance(value, (list, tuple)):
+            left += reversed(value)
+    return list(found)
 
 
 def redacted(text: Column, values: tuple[str, ...] = ()) -> Column:
-    """Arrow function over a text column; nulls stay null."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact_text(t, values))
-
-    return F.pandas_udf(run, "string")(text)
+    """``redact_text`` of a column, inside the JVM; nulls stay null."""
+    for value in _known(values):
+        text = F.replace(text, F.lit(value), F.lit(MASK))
+    return F.regexp_replace(F.regexp_replace(text, URL_USER, f"$1{MASK}@"), PATTERN, replacement("$"))
 
 
 def redacted_json(document: Column, values: tuple[str, ...] = ()) -> Column:
@@ -78,3 +138,18 @@ def redacted_json(document: Column, values: tuple[str, ...] = ()) -> Column:
         return texts.map(one)
 
     return F.pandas_udf(run, "string")(document)
+
+
+def json_strings(document: Column) -> Column:
+    """Arrow function: the distinct texts in a JSON column; null and what is no JSON give none."""
+
+    def one(text):
+        try:
+            return strings_of(json.loads(text))
+        except (TypeError, ValueError):
+            return []
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(run, "array<string>")(document)

@@ -158,3 +158,32 @@ def risk_targets(inventory: DataFrame, findings: DataFrame, keys: list[str], pre
     ranked = findings.withColumn("r", rank[F.col("reason")]).filter("r is not null").join(inventory.select(*keys, F.col("node_id").alias("node")), [*keys, "node"], "left_semi")
     names = F.array(*map(F.lit, predicates))
     return ranked.groupBy(*keys, "node").agg(F.sort_array(F.collect_set("r")).alias("rs")).select(*keys, "node", F.transform("rs", lambda r: F.element_at(names, r + 1)).alias("reasons"))
+
+
+def unknown_codes(values: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
+    """``values`` (keys, node, t, s and what else they bring) that aren't among the node's known codes, by type and text.
+
+    ``codes``: keys, node, t, s. Nodes without known codes have nothing to be compared with.
+    """
+    known = codes.select(*keys, "node").distinct()
+    return values.join(known, [*keys, "node"], "left_semi").join(codes.select(*keys, "node", "t", "s"), [*keys, "node", "t", "s"], "left_anti")
+
+
+def local_issues(observations: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, source, target, kind, condition_key, local_issues``: what each claim's own observations show, in the order of ISSUES.
+
+    ``observations``: the claim's columns and target_resolution, source_resolution, is_fuzzy, is_opaque, is_condition_resolved,
+    is_clear, is_supported (booleans, null for what isn't known).
+    """
+    said = {
+        "ambiguous_target": F.col("target_resolution") == "ambiguous",
+        "unresolved_target": (F.col("target_resolution") == "unresolved") | (F.col("source_resolution") != "resolved"),
+        "fuzzy_target": F.col("is_fuzzy"),
+        "opaque_condition": F.col("is_opaque"),
+        "unresolved_condition": ~F.col("is_condition_resolved"),
+        "unclear_statement": ~F.col("is_clear"),
+        "unsupported_inference": ~F.col("is_supported"),
+    }
+    claim = [*keys, "source", "target", "kind", "condition_key"]
+    seen = observations.groupBy(*claim).agg(*(F.max(F.coalesce(said[i], F.lit(False)).cast("int")).alias(i) for i in ISSUES if i in said))
+    return seen.select(*claim, F.array_compact(F.array(*(F.when(F.col(i) == 1, F.lit(i)) for i in ISSUES if i in said))).alias("local_issues"))

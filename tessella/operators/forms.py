@@ -9,19 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import conditions as C
+from tessella.functions import text as X
 from tessella.operators.ordered import ordered_fold
 
 #: Form types by what becomes of them, functions that expressions may use, and columns a record may have.
 TYPES = {
-    "integer": "numeric", "decimal": "numeric", "range": "numeric", "text": "text", "barcode": "text", "date": "date", "time": "date",
-    "datetime": "date", "select_one": "categorical_single", "select_one_from_file": "categorical_single", "select_multiple": "categorical_multi",
-    "select_multiple_from_file": "categorical_multi", "rank": "categorical_multi", "acknowledge": "categorical_single", "calculate": "other",
-    "geopoint": "other", "geotrace": "other", "geoshape": "other", "image": "other", "audio": "other", "video": "other", "file": "other", "hidden": "other",
+    "integer": "numeric", "decimal": "numeric", "range": "numeric", "text": "text",
+    "date": "date", "time": "date", "datetime": "date", "start": "date", "end": "date", "today": "date",
+    "select_one": "categorical_single", "select_one_from_file": "categorical_single", "select_multiple": "categorical_multi", "select_multiple_from_file": "categorical_multi",
+    "acknowledge": "other", "audio": "other", "barcode": "other", "calculate": "other", "file": "other", "geopoint": "other", "geoshape": "other", "geotrace": "other",
+    "hidden": "other", "image": "other", "username": "other", "video": "other",
 }
 GROUPS = ("group", "repeat")
 FUNCTIONS = ("selected", "not", "true", "false")
 LOGIC = ("constraint", "calculation", "choice_filter", "repeat_count")
-CHOICE_BASES = ("select_one", "select_one_from_file", "select_multiple", "select_multiple_from_file", "rank")
+#: Other columns in which a logic column's text may stand.
+BOUND = {"constraint": "bind::constraint", "calculation": "bind::calculate"}
+CHOICE_BASES = ("select_one", "select_one_from_file", "select_multiple", "select_multiple_from_file")
+SHEETS = ("survey", "choices", "settings")
+#: What marks the choices of a file; characters of a row that its source span quotes.
+FILE, MOST_QUOTE = "file:", 2_000
 
 
 def header_name(header: Column) -> Column:
@@ -163,7 +170,7 @@ def form_activations(typed: DataFrame) -> DataFrame:
 def feature_diagnostics(typed: DataFrame) -> DataFrame:
     """``form_id, row_no, code``: types, functions and arithmetic that can't be told."""
     supported = F.col("base").isin(*TYPES, "begin", "end", "note") | F.col("turn").isNotNull()
-    texts = F.concat_ws(" ", *(F.col("record")[c] for c in ("relevant", "bind::relevant", *LOGIC)))
+    texts = F.concat_ws(" ", *(F.col("record")[c] for c in ("relevant", "bind::relevant", *LOGIC, *BOUND.values())))
     called = F.regexp_extract_all(texts, F.lit(r"([A-Za-z_][\w-]*)\s*\("), F.lit(1))
     bare = F.regexp_replace(F.regexp_replace(texts, r"'[^']*'|\"[^\"]*\"|\$\{[^}]*\}", "x"), r"\b\d{4}-\d{2}-\d{2}\b", "x")
     codes = F.array_compact(
@@ -186,19 +193,64 @@ def choice_lists(choices: DataFrame, language: DataFrame) -> DataFrame:
 def choice_faults(typed: DataFrame, choices: DataFrame) -> DataFrame:
     """``form_id, list_name, fault``: lists asked for that don't exist, codes that come twice in a list."""
     lists = choices.select("form_id", F.col("record")["list_name"].alias("list_name"), F.col("record")["name"].alias("code"))
-    asked = typed.filter(F.col("base").isin("select_one", "select_multiple", "rank") & (F.col("list_name") != "")).select("form_id", "list_name").distinct()
+    asked = typed.filter(F.col("base").isin("select_one", "select_multiple") & (F.col("list_name") != "")).select("form_id", "list_name").distinct()
     missing = asked.join(lists.select("form_id", "list_name").distinct(), ["form_id", "list_name"], "left_anti").withColumn("fault", F.lit("missing_list"))
     twice = lists.groupBy("form_id", "list_name", "code").agg(F.count("*").alias("n")).filter("n > 1").select("form_id", "list_name", F.lit("repeated_code").alias("fault")).distinct()
     return missing.unionByName(twice)
 
 
+def choices_of() -> Column:
+    """The name under which a row's choices are found: a list's, or a file's behind FILE."""
+    return F.when(F.endswith("base", F.lit("_from_file")), F.concat(F.lit(FILE), F.regexp_replace("list_name", r"\\", "/"))).otherwise(F.col("list_name"))
+
+
+def external_choices(typed: DataFrame, files: DataFrame, language: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(lists, faults)`` of choices kept in files beside a form: form_id, list_name, categories; form_id, list_name, fault.
+
+    ``files``: form_id, path (below the form's folder), row_no, cells. A path that leaves the folder or names a place on a
+    network is refused, one without a file is missing, a code given twice in a file is a fault.
+    """
+    asked = typed.filter(F.endswith("base", F.lit("_from_file"))).select("form_id", choices_of().alias("list_name")).distinct()
+    path = F.substring("list_name", len(FILE) + 1, 1 << 30)
+    unsafe = (path == "") | F.startswith(path, F.lit("/")) | path.rlike(r"(^|/)\.\.(/|$)|^[A-Za-z][A-Za-z0-9+.-]*:")
+    sheets = files.select("form_id", F.concat(F.lit(FILE), "path").alias("sheet"), "row_no", "cells")
+    sound = asked.filter(~unsafe)
+    records = sheet_records(sheets.join(sound.select("form_id", F.col("list_name").alias("sheet")), ["form_id", "sheet"], "left_semi"))
+    told = records.withColumn("record", F.map_concat(F.map_filter("record", lambda k, v: k != "list_name"), F.create_map(F.lit("list_name"), F.col("sheet"))))
+    missing = sound.join(sheets.select("form_id", F.col("sheet").alias("list_name")).distinct(), ["form_id", "list_name"], "left_anti")
+    twice = told.groupBy("form_id", F.col("sheet").alias("list_name"), F.col("record")["name"].alias("code")).agg(F.count("*").alias("n")).filter("n > 1 and code is not null").select("form_id", "list_name").distinct()
+    faults = [asked.filter(unsafe).withColumn("fault", F.lit("unsafe_path")), missing.withColumn("fault", F.lit("missing_file")), twice.withColumn("fault", F.lit("repeated_code"))]
+    return choice_lists(told, language), reduce(DataFrame.unionByName, faults)
+
+
+def workbook_rows(blocks: DataFrame) -> DataFrame:
+    """``form_id, sheet, row_no, cells, block_id`` of the workbooks among parsed documents that are forms: those with a survey sheet."""
+    sheets = blocks.filter("kind = 'table' and sheet is not null").withColumn("name", F.lower(F.trim("sheet"))).filter(F.col("name").isin(*SHEETS))
+    forms = sheets.filter("name = 'survey'").select("doc_id").distinct()
+    rows = sheets.join(forms, "doc_id", "left_semi").select(F.col("doc_id").alias("form_id"), F.col("name").alias("sheet"), "block_id", F.posexplode("table_rows").alias("at", "cells"))
+    return rows.select("form_id", "sheet", (F.col("at") + 1).alias("row_no"), "cells", "block_id")
+
+
+def row_spans(rows: DataFrame) -> DataFrame:
+    """``form_id, sheet, row_no, block_id, quote``: where each row of a form stands, and what its source says there."""
+    return rows.select("form_id", "sheet", "row_no", "block_id", F.substring(X.render_row(F.col("cells")), 1, MOST_QUOTE).alias("quote"))
+
+
+def first_diagnostics(diagnostics: DataFrame) -> DataFrame:
+    """``form_id, code, row_no``: each finding of a form once, at the first row that shows it."""
+    return diagnostics.groupBy("form_id", "code").agg(F.min("row_no").alias("row_no"))
+
+
 def form_variables(typed: DataFrame, lists: DataFrame, items: DataFrame, language: DataFrame) -> DataFrame:
     """Typed variables: notes and group rows are none, calculations are of type other; a module is the innermost group."""
     base = F.col("base")
     data_type = F.create_map(*(x for k, v in TYPES.items() for x in (F.lit(k), F.lit(v))))[base]
-    notes = F.nullif(F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.nullif(F.trim(F.col("record")[c]), F.lit(""))) for c in LOGIC)), F.lit(""))
+    filled = lambda c: F.nullif(F.trim(F.col("record")[c]), F.lit(""))
+    logic = {c: F.coalesce(filled(c), filled(BOUND[c])) if c in BOUND else filled(c) for c in LOGIC}
+    notes = F.nullif(F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), text) for c, text in logic.items())), F.lit(""))
     own = items.filter("fault is null and item is not null").select("form_id", F.col("item").alias("name"), F.col("parent").alias("module"))
-    told = typed.filter("turn is null and base != 'note' and name is not null").join(own, ["form_id", "name"], "left").join(lists, ["form_id", "list_name"], "left").join(language, "form_id", "left")
+    asked = typed.withColumn("list_name", choices_of()).filter("turn is null and base != 'note' and name is not null")
+    told = asked.join(own, ["form_id", "name"], "left").join(lists, ["form_id", "list_name"], "left").join(language, "form_id", "left")
     asks = base.isin(*CHOICE_BASES)
     reasons = F.array_compact(F.array(F.when(data_type.isNull(), F.lit("unsupported_type")), F.when(asks & (F.coalesce(F.size("categories"), F.lit(0)) <= 0), F.lit("missing_categories"))))
     return told.select(
@@ -218,8 +270,8 @@ def form_header(settings: DataFrame, forms: DataFrame, extracted: Column) -> Dat
     )
 
 
-def form_tables(rows: DataFrame, extracted: Column) -> dict[str, DataFrame]:
-    """Everything a form's sheets hold, from (form_id, sheet, row_no, cells)."""
+def form_tables(rows: DataFrame, extracted: Column, files: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything a form's sheets hold, from (form_id, sheet, row_no, cells), and its choice files (form_id, path, row_no, cells)."""
     records = sheet_records(rows)
     sheet = lambda name: records.filter(F.col("sheet") == name)
     header = form_header(sheet("settings"), rows, extracted)
@@ -227,7 +279,14 @@ def form_tables(rows: DataFrame, extracted: Column) -> dict[str, DataFrame]:
     typed = typed_rows(sheet("survey"))
     items = form_items(typed)
     lists = choice_lists(sheet("choices"), language)
+    beside = None
+    if files is not None:
+        external, beside = external_choices(typed, files, language)
+        lists = lists.unionByName(external)
+    codes = feature_diagnostics(typed)
+    found = [items.filter("fault is not null").select("form_id", F.col("row_no").cast("string").alias("at"), "fault"), codes.select("form_id", F.col("row_no").cast("string").alias("at"), F.col("code").alias("fault"))]
+    found += [df.select("form_id", F.col("list_name").alias("at"), "fault") for df in (choice_faults(typed, sheet("choices")), beside) if df is not None]
     return {
         "header": header, "items": items.filter("fault is null"), "transitions": form_transitions(items), "activations": form_activations(typed), "variables": form_variables(typed, lists, items, language),
-        "faults": reduce(DataFrame.unionByName, [items.filter("fault is not null").select("form_id", F.col("row_no").cast("string").alias("at"), "fault"), choice_faults(typed, sheet("choices")).select("form_id", F.col("list_name").alias("at"), "fault"), feature_diagnostics(typed).select("form_id", F.col("row_no").cast("string").alias("at"), F.col("code").alias("fault"))]),
+        "faults": reduce(DataFrame.unionByName, found), "diagnostics": first_diagnostics(codes),
     }

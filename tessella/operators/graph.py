@@ -171,3 +171,53 @@ def scale_graph(spark, n_nodes: int, n_edges: int) -> DataFrame:
     edges = distances.select("distance", F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1) - F.col("distance"))).alias("source")).withColumn("target", F.col("source") + F.col("distance"))
     rank = (F.col("distance") - 1) * n_nodes - (F.col("distance") * (F.col("distance") - 1) / 2).cast("long") + F.col("source")
     return edges.filter(rank < n_edges).select("source", "target")
+
+
+def containers_without_entry(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, node, n``: nodes that hold others and have not exactly one unconditional edge to their entry child.
+
+    ``nodes``: keys, node, parent, is_entry; ``edges``: keys, source, target, kind.
+    """
+    keys = keys or []
+    holders = nodes.filter("parent is not null").select(*keys, F.col("parent").alias("node")).distinct()
+    doors = nodes.filter("parent is not null and is_entry").select(*keys, F.col("parent").alias("source"), F.col("node").alias("target"))
+    inward = edges.filter("kind = 'unconditional'").select(*keys, "source", "target").join(doors, [*keys, "source", "target"], "left_semi")
+    counts = inward.groupBy(*keys, F.col("source").alias("node")).agg(F.count("*").alias("n"))
+    return holders.join(counts, [*keys, "node"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n != 1")
+
+
+def declared_regions(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, region, node, size``: each repeat group with all that it holds, itself too. ``nodes``: keys, node, parent, kind."""
+    keys = keys or []
+    groups = nodes.filter("kind = 'repeat_group'").select(*keys, F.col("node").alias("region"))
+    inner = descendants(nodes.select(*keys, "node", "parent"), keys).select(*keys, F.col("ancestor").alias("region"), "node").join(groups, [*keys, "region"], "left_semi")
+    members = inner.unionByName(groups.withColumn("node", F.col("region"))).distinct()
+    return members.join(members.groupBy(*keys, "region").agg(F.count("*").alias("size")), [*keys, "region"])
+
+
+def declared_edge_roles(regions: DataFrame, edges: DataFrame, order: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, region, edge_id, role`` of edges at declared repeats: entry, exit, and inside the smallest repeat that holds both
+    ends (of equal ones the first) return or internal.
+
+    ``edges``: keys, edge_id, source, target; ``order``: keys, node, ord.
+    """
+    keys = keys or []
+    at = lambda end: order.select(*keys, F.col("node").alias(end), F.col("ord").alias(f"{end}_ord"))
+    member = lambda end: regions.select(*keys, F.col("region").alias(f"{end}_region"), F.col("node").alias(end), "size")
+    out = edges.join(member("source"), [*keys, "source"]).withColumnRenamed("source_region", "region")
+    into = edges.join(member("target"), [*keys, "target"]).withColumnRenamed("target_region", "region")
+    inside = out.join(into.select(*keys, "region", "edge_id"), [*keys, "region", "edge_id"])
+    placed = inside.join(order.select(*keys, F.col("node").alias("region"), F.col("ord").alias("region_ord")), [*keys, "region"])
+    owner = placed.groupBy(*keys, "edge_id").agg(F.min_by("region", F.struct("size", "region_ord")).alias("region"))
+    owned = edges.join(owner, [*keys, "edge_id"]).join(at("source"), [*keys, "source"]).join(at("target"), [*keys, "target"])
+    turn = F.when(F.col("target_ord") <= F.col("source_ord"), "return").otherwise("internal")
+    beyond = lambda one, other, role: one.join(other.select(*keys, "region", "edge_id"), [*keys, "region", "edge_id"], "left_anti").select(*keys, "region", "edge_id", F.lit(role).alias("role"))
+    return owned.select(*keys, "region", "edge_id", turn.alias("role")).unionByName(beyond(out, into, "exit")).unionByName(beyond(into, out, "entry"))
+
+
+def undeclared_components(components: DataFrame, regions: DataFrame) -> DataFrame:
+    """``component`` of those that no declared repeat holds whole. ``regions``: region, node, over the same nodes."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    held = components.join(regions.select("region", "node"), "node").groupBy("component", "region").agg(F.count("*").alias("inside"))
+    whole = held.join(sizes, "component").filter("inside = n").select("component").distinct()
+    return sizes.join(whole, "component", "left_anti").select("component")

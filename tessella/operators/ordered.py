@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tessella.runtime import cut_lineage, shuffle_partitions
+
 ROWS_PER_BATCH = 5_000
 
 
@@ -48,3 +51,19 @@ def ordered_fold(
             yield batch_of(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: each row's number, from 1, among those of its ``by`` in ``order``, which should be total.
+
+    Rows are sorted by ranges of (by, order), so rows of one hot key lie in many ranges, each numbered by itself; what the
+    ranges before hold of the key is added. The ranges are cut in the shared folder, as they must not be drawn again.
+    """
+    ranged = cut_lineage(df.repartitionByRange(shuffle_partitions(df.sparkSession), *by, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(b).alias(f"_{b}") for b in by), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    same = [F.equal_null(F.col(b), F.col(f"_{b}")) for b in by]
+    numbered = ranged.withColumn("_own", own).join(offsets, [F.col("_range") == F.col("_at"), *same])
+    return numbered.withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_at", "_before", *(f"_{b}" for b in by))

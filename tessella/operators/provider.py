@@ -98,7 +98,8 @@ def map_requests(requests: DataFrame, provider: Callable[[], Callable[[str], Ans
 
     distinct = requests.groupBy("request_sha").agg(F.first("message").alias("message"))
     if most_calls:
-        distinct = distinct.coalesce(most_calls)
+        # Not coalesce, which would run the aggregate before it in as few tasks.
+        distinct = distinct.repartition(most_calls)
     answers = cut_lineage(distinct.mapInArrow(run, _CALLS))
     return requests.join(answers, "request_sha")
 
@@ -150,13 +151,16 @@ def map_fitting(requests: DataFrame, provider: Callable[[], Callable[[str], Answ
     return told.unionByName(over, allowMissingColumns=True)
 
 
-def map_reduce(chunks: DataFrame, provider, schema: str, reduce_column: Callable[[Column], Column], strict: bool = False) -> DataFrame:
+def map_reduce(chunks: DataFrame, provider, schema: str, reduce_column: Callable[[Column], Column], strict: bool = False, told_by: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, result, n_chunks, n_failed, status``: a call a chunk, then a reducer over the ordered payloads of a document.
 
+    A call is known by its message, the answer's schema and ``told_by`` (the model, the prompt's digest and whatever else
+    its answer depends on).
+
     ``reduce_column`` gets the array of payload structs (parsed with ``schema``) in chunk order. Strict documents fail
     with any failed chunk, others are partial.
     """
-    told = map_requests(chunks.withColumn("message", chunk_message(F.col("chunk_id"), F.col("text"))).withColumn("request_sha", request_digest(F.col("message"))), provider)
+    told = map_requests(chunks.withColumn("message", chunk_message(F.col("chunk_id"), F.col("text"))).withColumn("request_sha", request_digest(*map(F.lit, (schema, *told_by)), F.col("message"))), provider)
     parsed = told.withColumn("answer", F.from_json("payload", schema))
     docs = parsed.groupBy("doc_id").agg(
         F.transform(F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("chunk_ord", "answer")))), lambda x: x["answer"]).alias("answers"), F.count("*").alias("n_chunks"), F.count(F.when(~F.col("ok"), 1)).alias("n_failed")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import identity as I
+from tessella.operators.ordered import row_numbers
 
 
 def resolve(references: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,13 +44,13 @@ def resolve_conditions(leaves: DataFrame, keys: list[str]) -> DataFrame:
 def node_ids(items: DataFrame, keys: list[str], kind: Column, section: Column, printed: Column, fallback: Column) -> DataFrame:
     """Adds ``node_id``: kind:section:alias, all members of a repeated id numbered; without a printed id a content hash.
 
-    Repeats are counted by an aggregate and joined back, so one id that fills a third of all rows is no one task's.
+    Repeats are counted by an aggregate and joined back, and numbered range by range, so one id that fills a third of all
+    rows is no one task's. ``source_order`` is total within an id.
     """
     based = items.withColumn("base", F.when(printed.isNotNull() & (printed != ""), F.concat_ws(":", kind, section, printed)).otherwise(F.concat_ws(":", kind, F.lit("fallback"), fallback)))
     counts = based.groupBy(*keys, "base").agg(F.count("*").alias("n_same"))
-    w = Window.partitionBy(*keys, "base").orderBy("source_order")
-    many = based.join(counts.filter("n_same > 1"), [*keys, "base"])
-    many = many.withColumn("node_id", F.concat(F.col("base"), F.lit(":duplicate-"), F.row_number().over(w).cast("string")))
+    many = row_numbers(based.join(counts.filter("n_same > 1"), [*keys, "base"]), [*keys, "base"], ["source_order"], "number")
+    many = many.withColumn("node_id", F.concat(F.col("base"), F.lit(":duplicate-"), F.col("number").cast("string"))).drop("number")
     alone = based.join(counts.filter("n_same = 1"), [*keys, "base"]).withColumn("node_id", F.col("base"))
     return alone.unionByName(many).drop("base", "n_same")
 
@@ -97,3 +98,37 @@ def evidence_ids(evidence: DataFrame, canonical: Column, namespace: str, order:
     told = evidence.withColumn("evidence_id", I.stable_id_of(namespace, canonical))
     first = told.groupBy("evidence_id").agg(F.min(order).alias(order))
     return told.join(first, ["evidence_id", order], "left_semi")
+
+
+def linked_variables(items: DataFrame, variables: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node_id, n_linked, first_index``: items and the variables of their name, which may be several.
+
+    ``items``: keys, node_id, name; ``variables``: keys, index, name. A name that two items bear links neither, as a
+    variable has one item.
+    """
+    one = items.groupBy(*keys, "name").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).filter("n = 1").drop("n")
+    named = variables.groupBy(*keys, "name").agg(F.count("*").alias("n_linked"), F.min("index").alias("first_index"))
+    return one.join(named, [*keys, "name"]).select(*keys, "node_id", "n_linked", "first_index")
+
+
+def printed_text(text: Column) -> Column:
+    """A printed label as it is compared: compatibility form, single blanks, case folded, without full stops and colons at its end."""
+    return F.rtrim(F.regexp_replace(I.quote_of(text), r"[.:]+$", ""))
+
+
+def line_matches(lines: DataFrame, variables: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, line_id, variable_id``: printed lines and the one variable each means, by its id, else by its label or question.
+
+    ``lines``: keys, line_id, printed, text; ``variables``: keys, variable_id, name, label, question (the texts as
+    ``printed_text`` gives them). A line that means several variables, and a variable that several lines mean, link nothing.
+    """
+    folded = F.lower(F.trim("printed"))
+    names = variables.select(*keys, "variable_id", F.lower(F.trim("name")).alias("match"))
+    by_id = lines.select(*keys, "line_id", folded.alias("match")).filter("match != ''").join(names, [*keys, "match"]).select(*keys, "line_id", "variable_id")
+    texts = variables.select(*keys, "variable_id", F.explode(F.array("label", "question")).alias("match")).filter("match != ''").distinct()
+    rest = lines.join(by_id.select(*keys, "line_id").distinct(), [*keys, "line_id"], "left_anti")
+    by_text = rest.select(*keys, "line_id", F.col("text").alias("match")).join(texts, [*keys, "match"]).select(*keys, "line_id", "variable_id")
+    meant = by_id.unionByName(by_text).distinct()
+    lines_of = meant.groupBy(*keys, "line_id").agg(F.count("*").alias("n"), F.min("variable_id").alias("variable_id")).filter("n = 1").drop("n")
+    claimed = meant.groupBy(*keys, "variable_id").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    return lines_of.join(claimed, [*keys, "variable_id"]).select(*keys, "line_id", "variable_id")

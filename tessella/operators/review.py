@@ -111,3 +111,68 @@ def packet_closure(placed: DataFrame, discrepancies: DataFrame, candidates: Data
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.distinct()
+
+
+def audit_faults(candidates: DataFrame, discrepancies: DataFrame, decisions: DataFrame, evidence: DataFrame, spans: DataFrame) -> DataFrame:
+    """``owner, owner_id, what, missing``: every reference of a review's tables that leads nowhere.
+
+    Candidates name evidence; discrepancies candidates, evidence and spans; decisions candidates, discrepancies and the
+    decision they supersede; evidence names its span.
+    """
+    ids = {"evidence": evidence.select("evidence_id"), "candidate": candidates.select("candidate_id"), "discrepancy": discrepancies.select("discrepancy_id"), "decision": decisions.select("decision_id"), "span": spans.select("span_id")}
+    one = lambda df, own, column: df.select(own, F.array(column).alias(column))
+    named = [
+        ("candidate", candidates, "evidence_ids", "evidence"),
+        ("discrepancy", discrepancies, "candidate_ids", "candidate"),
+        ("discrepancy", discrepancies, "evidence_ids", "evidence"),
+        ("discrepancy", discrepancies, "span_ids", "span"),
+        ("decision", decisions, "candidate_ids", "candidate"),
+        ("decision", decisions, "discrepancy_ids", "discrepancy"),
+        ("decision", one(decisions.filter("supersedes is not null"), "decision_id", "supersedes"), "supersedes", "decision"),
+        ("evidence", one(evidence, "evidence_id", "span_id"), "span_id", "span"),
+    ]
+    out = None
+    for owner, df, column, what in named:
+        if column not in df.columns:
+            continue
+        gone = missing_references(df, f"{owner}_id", column, ids[what], f"{what}_id").select(F.lit(owner).alias("owner"), F.col(f"{owner}_id").cast("string").alias("owner_id"), F.lit(what).alias("what"), F.col("missing").cast("string").alias("missing"))
+        out = gone if out is None else out.unionByName(gone)
+    return out
+
+
+def citation_faults(answers: DataFrame, packets: DataFrame, candidates: DataFrame, evidence: DataFrame, most_spans: int = 8) -> DataFrame:
+    """``answer_id, fault`` of review answers that cite what they may not.
+
+    ``answers``: answer_id, packet, action, discrepancy_ids, candidate_ids, evidence_ids, span_ids; ``packets``: packet,
+    discrepancy_ids, candidate_ids; ``candidates``: candidate_id, evidence_ids; ``evidence``: evidence_id, span_id. Cited
+    discrepancies and candidates must be the packet's, cited evidence that of the cited candidates, cited spans those of
+    the cited evidence; something is cited of each, and at most ``most_spans`` spans.
+    """
+    asked = answers.join(packets.select("packet", F.col("discrepancy_ids").alias("own_discrepancies"), F.col("candidate_ids").alias("own_candidates")), "packet", "left")
+    none = F.array().cast("array<string>")
+    held = lambda column, own: F.size(F.array_except(F.coalesce(column, none), F.coalesce(own, none))) > 0
+    rules = {
+        "packet": F.col("own_candidates").isNull(),
+        "discrepancy": held("discrepancy_ids", "own_discrepancies"),
+        "candidate": held("candidate_ids", "own_candidates"),
+        "nothing_cited": (F.coalesce(F.size("candidate_ids"), F.lit(0)) <= 0) | (F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0) | (F.coalesce(F.size("span_ids"), F.lit(0)) <= 0),
+        "too_many_spans": F.size("span_ids") > most_spans,
+        "action": ~F.coalesce(F.col("action").isin("confirm", "reject", "replace"), F.lit(False)),
+    }
+    shapes = asked.select("answer_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(n)) for n, bad in rules.items())))).alias("fault"))
+    cited = answers.select("answer_id", F.explode("candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id", F.explode("evidence_ids").alias("evidence_id")), "candidate_id").select("answer_id", "evidence_id").distinct()
+    said = answers.select("answer_id", F.explode("evidence_ids").alias("evidence_id"))
+    stray = said.join(cited, ["answer_id", "evidence_id"], "left_anti").select("answer_id", F.lit("evidence").alias("fault"))
+    shown = said.join(evidence.select("evidence_id", "span_id"), "evidence_id").select("answer_id", "span_id").distinct()
+    lost = answers.select("answer_id", F.explode("span_ids").alias("span_id")).join(shown, ["answer_id", "span_id"], "left_anti").select("answer_id", F.lit("span").alias("fault"))
+    return shapes.unionByName(stray).unionByName(lost).distinct()
+
+
+def supersession_faults(decisions: DataFrame) -> DataFrame:
+    """``decision_id, fault``: a decision that supersedes one of other candidates, itself or a later one; ids given twice."""
+    sets = decisions.select(F.col("decision_id").alias("supersedes"), F.sort_array(F.array_distinct("candidate_ids")).alias("before"), F.col("ord").alias("before_ord"))
+    told = decisions.join(sets, "supersedes").withColumn("now", F.sort_array(F.array_distinct("candidate_ids")))
+    other = told.filter("now != before").select("decision_id", F.lit("other_candidates").alias("fault"))
+    late = told.filter("before_ord >= ord").select("decision_id", F.lit("not_earlier").alias("fault"))
+    twice = decisions.groupBy("decision_id").agg(F.count("*").alias("n")).filter("n > 1").select("decision_id", F.lit("repeated").alias("fault"))
+    return other.unionByName(late).unionByName(twice).distinct()

@@ -85,11 +85,11 @@ def survey_metadata(chunks: DataFrame, blocks: DataFrame, make_provider: Callabl
 
 
 def with_provenance(records: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Records with the place of the first block they cite: its sheet and section, and its zero-based page where it has one."""
-    place = blocks.select(F.col("doc_id").alias("survey_id"), F.col("block_id").alias("first_block"), "sheet", "section_path")
+    """Records with the place of the first block they cite: its page, sheet and section; ``source_page`` counts from 0."""
+    place = blocks.select(F.col("doc_id").alias("survey_id"), F.col("block_id").alias("first_block"), "page", "sheet", "section_path")
     first = F.element_at(F.when(F.size("source_block_ids") > 0, F.col("source_block_ids")), 1)
     told = records.withColumn("first_block", first).join(place, ["survey_id", "first_block"], "left")
-    return told.withColumn("prov", F.struct(F.lit(None).cast("int").alias("page"), "sheet", "section_path")).drop("first_block", "sheet", "section_path")
+    return told.withColumn("prov", F.struct("page", "sheet", "section_path")).withColumn("source_page", F.col("page") - 1).drop("first_block", "page", "sheet", "section_path")
 
 
 def convert_blocks(blocks: DataFrame, make_provider: Callable, config: Config = Config(), extraction_date: datetime.date | None = None) -> dict[str, DataFrame]:

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import identity as I
+from tessella.functions import prompts
 from tessella.functions import redact as R
 from tessella.functions import text as T
 from tessella.operators import blocks as B
 from tessella.operators import chunking as K
 from tessella.operators import claims as C
 from tessella.operators import evaluate as E
-from tessella.operators import forms, graph, provider, quality, resolve, review
+from tessella.operators import forms, graph, provider, quality, regions, resolve, review, validate
 from tessella.operators.components import connected_components
 from tessella.runtime import read_table
 
@@ -132,10 +133,49 @@ def pack_chunks(table):
     return K.pack_sizes(sizes, "doc_id", "place", "size", 6000)
 
 
+def _pdf_blocks(table):
+    return table("pdf_blocks").select("doc_id", "ord", F.col("block_key").cast("string").alias("block_id"), F.when(F.col("table_rows").isNotNull(), "table").otherwise("text").alias("kind"), "text", "table_rows")
+
+
 @query()
 def chunk_plan(table):
-    blocks = table("pdf_blocks").select("doc_id", "ord", F.col("block_key").cast("string").alias("block_id"), F.when(F.col("table_rows").isNotNull(), "table").otherwise("text").alias("kind"), "text", "table_rows")
-    return K.chunk_blocks(blocks, 8_000, 400)
+    return K.chunk_blocks(_pdf_blocks(table), 8_000, 400)
+
+
+@query("select doc_id, string_agg(block_key::varchar, ',' order by ord, block_key::varchar) as block_ids, true as fits, true as overlaps_fit from pdf_blocks group by doc_id")
+def chunk_cover(table):
+    """Of each document's chunks: the blocks that are new in one, in order, and whether all chunks and overlaps keep to their limits."""
+    chunks = K.chunk_blocks(_pdf_blocks(table), 8_000, 400)
+    new = F.transform(F.sort_array(F.collect_list(F.struct("chunk_ord", "new_block_ids"))), lambda c: c["new_block_ids"])
+    sizes = table("pdf_blocks").select("doc_id", F.col("block_key").cast("string").alias("block_id"), T.byte_estimate(F.col("text")).alias("n"))
+    laps = chunks.select("doc_id", "chunk_ord", F.explode("overlap_block_ids").alias("block_id")).join(sizes, ["doc_id", "block_id"]).groupBy("doc_id", "chunk_ord").agg(F.sum("n").alias("lap"))
+    told = chunks.join(laps, ["doc_id", "chunk_ord"], "left").withColumn("lap_fits", (F.size("overlap_block_ids") < 2) | (F.coalesce("lap", F.lit(0)) <= 8_000))
+    return told.groupBy("doc_id").agg(F.array_join(F.array_distinct(F.flatten(new)), ",").alias("block_ids"), F.bool_and(F.col("size") <= 8_000).alias("fits"), F.bool_and("lap_fits").alias("overlaps_fit"))
+
+
+@query("select doc_id, text as whole, true as fits from documents where text is not null")
+def text_pieces(table):
+    """Texts cut at blanks into pieces of 1,000 bytes and put together again."""
+    pieces = F.pandas_udf(lambda texts: texts.map(lambda t: K.split_text(t, 1_000)), "array<string>", F.PandasUDFType.SCALAR)
+    cut = table("documents").filter("text is not null").select("doc_id", pieces("text").alias("p"))
+    return cut.select("doc_id", F.array_join("p", "").alias("whole"), F.forall("p", lambda x: F.octet_length(x) <= 1_000).alias("fits"))
+
+
+@query(
+    """with recursive v as (select survey_id, record_id, coalesce(module, '') as m, row_number() over (partition by survey_id order by source_order, record_id) as i from variable_records),
+r as (select *, case when lag(m) over w is distinct from m or i = 1 then 1 else 0 end as starts from v window w as (partition by survey_id order by i)),
+g as (select *, sum(starts) over (partition by survey_id order by i) as run from r),
+p as (select *, (row_number() over (partition by survey_id, run order by i) - 1) // 20 as part from g),
+s as (select survey_id, run, part, count(*) as n, row_number() over (partition by survey_id order by run, part) as k from p group by survey_id, run, part),
+f as (select survey_id, run, part, k, n as filled, 0 as chunk_no from s where k = 1
+  union all select s.survey_id, s.run, s.part, s.k, case when f.filled + s.n > 20 then s.n else f.filled + s.n end, case when f.filled + s.n > 20 then f.chunk_no + 1 else f.chunk_no end
+  from f join s on s.survey_id = f.survey_id and s.k = f.k + 1)
+select p.record_id, f.chunk_no from p join f using (survey_id, run, part)"""
+)
+def region_chunks(table):
+    """Each survey's records in order, runs of one module kept together, in chunks of at most twenty."""
+    items = table("variable_records").select("survey_id", "source_order", "record_id", F.coalesce("module", F.lit("")).alias("section"), F.lit(None).cast("string").alias("repeat_group"))
+    return regions.region_chunks(items, ["survey_id"], 20, node="record_id").select("record_id", "chunk_no")
 
 
 @query(f"with {_LINES}, g as (select doc_id, row_text, count(*) as n from n where row_text <> '' group by all having count(*) > 1), s as (select doc_id, count(*) as n_rows, sum(n)::bigint as n_total from g group by doc_id) select d.doc_id, coalesce(strlen(text), 0) as n_bytes, coalesce(n_rows, 0) as n_repeated, coalesce(n_total, 0) as n_occurrences from documents d left join s using (doc_id)")
@@ -234,7 +274,17 @@ def quality_policy(table):
     return quality.apply_policy(table("variable_records"))
 
 
-@query()
+@query(
+    f"""with recursive {_QUALITY},
+k as (select *, coalesce(case when len(prov.section_path) > 0 then prov.section_path[-1] end, prov.sheet) as sm from kept)
+select survey_id, 1 as phase, source_order as position, 0 as seq, 'validation_failed' as code, record_id::varchar as subject from base where inverted
+union all select b.survey_id, 1, b.source_order, 1, 'overlap_deduped', b.record_id::varchar from base b join fold f using (record_id) where f.dropped
+union all select survey_id, 1, source_order, 2, 'low_confidence', record_id::varchar from k where extraction_confidence < 0.7
+union all select survey_id, 1, source_order, 3, 'missing_categories', record_id::varchar from k where data_type in ('categorical_single', 'categorical_multi') and coalesce(len(categories), 0) = 0
+union all select survey_id, 1, source_order, 4, 'module_reconciled', record_id::varchar from k where nullif(sm, '') is not null and sm is distinct from module
+union all select survey_id, 2, first_order, 5, 'duplicate_raw_name', nm from names
+union all select survey_id, 3, a::int, 6, 'possible_duplicate', a || ':' || b from pairs"""
+)
 def quality_diagnostics(table):
     return quality.policy_diagnostics(table("variable_records"))
 
@@ -255,9 +305,102 @@ def status_rollup(table):
     return E.result_status(rows, "survey_id")
 
 
-@query("select event_type, count(*) as n_events, count(distinct user_id) as n_users, round(sum(value), 2) as total from events group by event_type")
+@query("select event_type, count(*) as n_calls, sum(1 + user_id % 3)::bigint as n_tries, sum(event_id % 1000)::bigint as input_tokens, sum(user_id)::bigint as output_tokens, count(*) filter (not value >= 20) as n_failed from events group by event_type")
 def usage_rollup(table):
-    return table("events").groupBy("event_type").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"), F.round(F.sum("value"), 2).alias("total"))
+    """Events read as calls: their usage by kind."""
+    calls = table("events").select("event_type", (F.col("value") >= 20).alias("ok"), (1 + F.col("user_id") % 3).alias("tries"), (F.col("event_id") % 1000).alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return provider.usage(calls, ["event_type"])
+
+
+@query("select doc_id, 'UNK_2024_SURVEY' as survey_id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(source_name, '^.*[/\\\\]', ''), '\\.[^.]*$', ''), '[_-]+', ' ', 'g'), ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as survey_name from source_documents")
+def fallback_names(table):
+    survey_id, name = T.fallback_survey(F.col("source_name"), F.lit("2024-05-01").cast("date"))
+    return table("source_documents").select("doc_id", survey_id.alias("survey_id"), name.alias("survey_name"))
+
+
+@query(f"select doc_id, trim(regexp_replace(text, '[\\t\\n\\x0b\\f\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' ') as text from documents")
+def whitespace_unicode(table):
+    return table("documents").select("doc_id", T.squeeze(F.col("text")).alias("text"))
+
+
+@query(f"select doc_id, substring(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[\\t\\n\\x0b\\f\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' '), 1, 200) as text from documents")
+def excerpts(table):
+    return table("documents").select("doc_id", T.excerpt(F.col("text"), 200).alias("text"))
+
+
+_REQUEST = "'" + prompts.EXTRACT.template.replace("'", "''").replace("{{chunk_id}}", "' || coalesce(chunk_id, '') || '").replace("{{inventory}}", "[]").replace("{{text}}", "' || coalesce(text, '') || '") + "'"
+
+
+def _requests(table):
+    message = prompts.EXTRACT.render(chunk_id=F.col("chunk_id"), inventory=F.lit("[]"), text=F.col("text"))
+    return table("source_chunks").select("chunk_key", message.alias("message"))
+
+
+@query(f"select chunk_key, sha256({_REQUEST}) as message_sha from source_chunks")
+def prompt_messages(table):
+    return _requests(table).select("chunk_key", F.sha2("message", 256).alias("message_sha"))
+
+
+@query(f"select chunk_key from source_chunks where strlen({_REQUEST}) + 4 > 2000")
+def oversized_requests(table):
+    return provider.capacity_faults(_requests(table), 2_000).select("chunk_key")
+
+
+@query("with m as (select survey_id, module, min((source_order, record_id)) as f from variable_records where module is not null group by all) select survey_id, module, (row_number() over (partition by survey_id order by f, module) - 1)::int as place from m")
+def modules_in_order(table):
+    records = table("variable_records").withColumn("at", F.struct("source_order", "record_id"))
+    return validate.ordered_unique(records, "survey_id", "at", "module")
+
+
+@query("select survey_id, coalesce(module, '') as issue, count(*) as n, bool_or(extraction_confidence < 0.5) as needs_human from variable_records where needs_review group by survey_id, coalesce(module, '')")
+def open_issues(table):
+    told = table("variable_records").select("survey_id", F.coalesce("module", F.lit("")).alias("issue"), (~F.col("needs_review")).alias("is_resolved"), (F.col("extraction_confidence") < 0.5).alias("needs_human"))
+    return validate.unresolved_rollup(told, "survey_id")
+
+
+@query("select record_id, lead(record_id) over (partition by survey_id, coalesce(module, ''), data_type order by source_order, record_id) as successor from variable_records where not needs_review")
+def successors(table):
+    items = table("variable_records").select("survey_id", F.coalesce("module", F.lit("")).alias("section"), F.col("data_type").alias("parent"), F.struct("source_order", "record_id").alias("source_order"), F.col("record_id").alias("node_id"), F.when(F.col("needs_review"), "entry").otherwise("question").alias("kind"))
+    return C.expected_successors(items, ["survey_id"]).select(F.col("node_id").alias("record_id"), "successor")
+
+
+@query(
+    """with v as (select survey_id, record_id, lower(trim(raw_name, ' ')) as name, needs_review from variable_records where raw_name is not null),
+i as (select survey_id, name, min(record_id) as node_id from v where needs_review group by all having count(*) = 1)
+select survey_id, node_id, count(*) as n_linked, min(record_id) as first_index from i join v using (survey_id, name) where not needs_review group by survey_id, node_id"""
+)
+def linked_items(table):
+    named = table("variable_records").filter("raw_name is not null").select("survey_id", "record_id", "needs_review", F.lower(F.trim("raw_name")).alias("name"))
+    return resolve.linked_variables(named.filter("needs_review").withColumnRenamed("record_id", "node_id"), named.filter("not needs_review").withColumnRenamed("record_id", "index"), ["survey_id"])
+
+
+@query("select c_custkey, 'customer:' || sha256('{\"key\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}') as stable_id from customer")
+def customer_ids(table):
+    fields = {"key": F.col("c_custkey").cast("string"), "name": I.json_string(F.col("c_name")), "nation": F.col("c_nationkey").cast("string")}
+    return table("customer").select("c_custkey", I.stable_id_of("customer", I.canonical_object(**fields)).alias("stable_id"))
+
+
+@query("select l_orderkey, l_linenumber, 'edge:' || sha256('{\"condition\":\"' || l_linestatus || '\",\"kind\":\"' || l_returnflag || '\",\"priority\":' || case when l_linenumber < 5 then l_linenumber::varchar else 'null' end || ',\"source\":\"' || l_orderkey || '\",\"target\":\"' || l_partkey || '\"}') as edge_id from lineitem")
+def edge_ids(table):
+    li = table("lineitem")
+    return li.select("l_orderkey", "l_linenumber", C.edge_id(F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"), F.col("l_linestatus"), F.when(F.col("l_linenumber") < 5, F.col("l_linenumber"))).alias("edge_id"))
+
+
+@query("select o_orderkey, ((1 + o_custkey % 26) * 26 + 1 + o_orderkey % 26)::int as col, (1 + o_orderkey % 1000)::int as row from orders")
+def cell_places(table):
+    letter = lambda c: F.chr((65 + F.col(c) % 26).cast("int"))
+    column, row = T.cell_reference(F.concat(letter("o_custkey"), letter("o_orderkey"), (1 + F.col("o_orderkey") % 1000).cast("string")))
+    return table("orders").select("o_orderkey", column.cast("int").alias("col"), row.alias("row"))
+
+
+@query(
+    """with c as (select record_id, unnest(categories).code.s as code, generate_subscripts(categories, 1) as n from variable_records)
+select record_id, n, case when regexp_matches(trim(code, ' '), '^[-+]?[0-9]+$') then 'int' when regexp_matches(trim(code, ' '), '^[-+]?([0-9]+\\.[0-9]*|\\.[0-9]+)$') then 'float' when regexp_matches(trim(code, ' '), '^(true|false)\\(\\)$') then 'bool'
+  when regexp_matches(trim(code, ' '), '^''[^'']*''$') or regexp_matches(trim(code, ' '), '^"[^"]*"$') then 'str' end as t from c"""
+)
+def code_types(table):
+    options = table("variable_records").select("record_id", F.posexplode("categories").alias("at", "c"))
+    return options.select("record_id", (F.col("at") + 1).cast("long").alias("n"), T.tagged_scalar(F.col("c.code.s"))["t"].alias("t"))
 
 
 _ALIAS = """case when regexp_extract(regexp_replace({b}, '[ \\t._-]+', '', 'g'), '^(?:q|question)?0*([0-9]+)$', 1) <> '' then 'q' || regexp_extract(regexp_replace({b}, '[ \\t._-]+', '', 'g'), '^(?:q|question)?0*([0-9]+)$', 1)
@@ -364,6 +507,11 @@ def accepted_edges(table):
     return C.accepted_edges(C.mark_issues(C.build_claims(_evidence(table), []), [])).select("source", "target", "kind", "condition_key", "priority", "confidence")
 
 
+@query(f"with {_ISSUES} select source, target, kind, condition_key, case when list_has_any(issues, ['ambiguous_target', 'opaque_condition', 'conflicting_target', 'unclear_statement']) then 'needs_human_review' else 'needs_agent_review' end as status from m where len(issues) > 0")
+def claim_candidates(table):
+    return C.candidates(C.mark_issues(C.build_claims(_evidence(table), []), [])).select("source", "target", "kind", "condition_key", "status")
+
+
 @query(f"with {_ISSUES}, x as (select source, first_line, unnest(issues) as issue from m) select source, issue, count(*) as n_claims, min(first_line) as first_line, issue = 'conflicting_target' as needs_human from x group by source, issue")
 def discrepancies(table):
     marked = C.mark_issues(C.build_claims(_evidence(table), []), [])
@@ -414,20 +562,34 @@ def no_terminal_path(table):
     return graph.without_terminal_path(*_terminal_nodes(table)).select("node")
 
 
-@query()
+_REACH = f"{_GRAPH}, m as (select target as node from g union select source from g), w as (select source, target from g union select w.source, g.target from w join g on g.source = w.target), b as (select a.source as node, a.target as other from w a join w z on z.source = a.target and z.target = a.source), scc as (select n.node, coalesce(least(n.node, min(b.other)), n.node) as component from m n left join b on b.node = n.node group by n.node)"
+
+
+@query(f"with recursive {_REACH} select node, component from scc")
 def strong_components(table):
     edges = _order_graph(table)
     return graph.strong_components(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct(), edges)
 
 
-@query()
+@query(
+    f"""with recursive {_REACH}, cyc as (select component from scc left join g on g.source = scc.node and g.target = scc.node group by component having count(distinct node) > 1 or count(g.source) > 0),
+s as (select scc.* from scc join cyc using (component)), e as (select g.source, g.target, a.component as c1, z.component as c2 from g left join s a on a.node = g.source left join s z on z.node = g.target)
+select c1 as component, source, target, case when target <= source then 'return' else 'internal' end as role from e where c1 = c2
+union all select c1, source, target, 'exit' from e where c1 is not null and c1 is distinct from c2 union all select c2, source, target, 'entry' from e where c2 is not null and c1 is distinct from c2"""
+)
 def loop_roles(table):
     edges = _order_graph(table).distinct()
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     return graph.loop_edge_roles(graph.strong_components(nodes, edges), edges, nodes.withColumn("ord", F.col("node")))
 
 
-@query()
+@query(
+    """with recursive e as (select o_custkey as u, 1000000 + (o_orderkey * 37) % 10007 as v from orders), both_ways as (select u, v from e union select v, u from e),
+n as (select distinct u as node from both_ways),
+l(node, component) using key (node) as (select node, node from n
+  union select b.v, min(l.component) from l join both_ways b on b.u = l.node join recurring.l as now on now.node = b.v where l.component < now.component group by b.v)
+select node, component from l"""
+)
 def connected(table):
     return connected_components(table("orders").select(F.col("o_custkey").alias("u"), (1_000_000 + (F.col("o_orderkey") * 37) % 10007).alias("v")), "u", "v")
 
@@ -528,17 +690,22 @@ def survey_sources(table):
     return joined.groupBy("survey_id").agg(F.count("doc_id").alias("n_documents"), F.coalesce(F.sum("f"), F.lit(0)).alias("n_failed_units"))
 
 
-@query()
+_REDACT = "regexp_replace(regexp_replace(text, '{}', '\\1[REDACTED]@', 'g'), '{}', '{}', 'g')".format(R.URL_USER, R.PATTERN.replace("'", "''"), R.replacement("\\"))
+
+
+@query(f"select doc_id, {_REDACT} as text from documents")
 def redacted_texts(table):
     return table("documents").select("doc_id", R.redacted(F.col("text")).alias("text"))
 
 
-@query()
+@query("""with j as (select doc_id, case when text is null then '{"doc_id":' || doc_id || '}' else '{"doc_id":' || doc_id || ',"text":' || to_json(text)::varchar || '}' end as json from documents)
+select doc_id, array_to_string(list_transform(regexp_extract_all(json, '(?s).'), lambda c: case when not regexp_matches(c, '[\\p{Cc}\\p{Cf}\\p{Co}\\p{Zl}\\p{Zp}]') then c
+  when unicode(c) < 65536 then printf('\\u%04x', unicode(c)) else printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) end), '') as json from j""")
 def model_json(table):
     return table("documents").select("doc_id", T.escape_invisible(F.to_json(F.struct("doc_id", "text"))).alias("json"))
 
 
-@query()
+@query("select doc_id, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\p{Z}]+')))::bigint as result, count(*) as n_chunks, 0::bigint as n_failed, 'success' as status from source_chunks group by doc_id")
 def provider_map_reduce(table):
     chunks = table("source_chunks").select("doc_id", "chunk_id", F.struct("ord", "chunk_key").alias("chunk_ord"), "text")
     rule = provider.rule_provider(_count_words)
@@ -551,7 +718,9 @@ def _count_words(message: str) -> dict:
     return {"n_words": len((json.loads(message).get("text") or "").split())}
 
 
-@query()
+@query("""select survey_id as form_id, source_order + 2 as row_no, trim(raw_name || '_' || record_id, ' ') as raw_name, nullif(trim(label, ' '), '') as label,
+case data_type when 'numeric' then 'numeric' when 'date' then 'date' when 'categorical_single' then 'categorical_single' when 'categorical_multi' then 'categorical_multi' else 'text' end as data_type,
+case when data_type in ('categorical_single', 'categorical_multi') then 'missing_categories' else '' end as review_reasons from variable_records where raw_name is not null""")
 def form_variables(table):
     """Records written as the sheets of a form, read back as typed variables."""
     records = table("variable_records").filter("raw_name is not null")

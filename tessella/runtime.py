@@ -33,16 +33,26 @@ def spread(df: DataFrame, least: float = 0.5) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least * slots else df.repartition(2 * slots)
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """The folder that a session's checkpoints go to."""
+    if named:
+        return named
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder of the cluster.
 
-    The folder is that of ``spark.checkpoint.dir``; where the session names none (unit tests on one machine), a
-    folder of its own is set. A lost executor costs nothing, as the files are shared.
+    The folder is that of ``spark.checkpoint.dir``. Where the session names none, a folder of this machine is taken on a
+    local master (unit tests); on a cluster that is an error, as executors don't share the driver's folders. A lost
+    executor costs nothing, as the files are shared.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessella-checkpoints"))
+        context.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), context.master))
     return df.checkpoint(eager=True)
 
 

@@ -1,7 +1,7 @@
 """Bytes of a document to ordered blocks, one pure function a format, with the standard library only.
 
-A block is a dict: kind (text or table), text, rows (of a table), section (path), sheet. A parser raises SourceFault with
-a code; a document never fails a job.
+A block is a dict: kind (text or table), text, rows (of a table), section (path), sheet, and page where the source has
+pages. A parser raises SourceFault with a code; a document never fails a job.
 """
 
 from __future__ import annotations
@@ -251,7 +251,10 @@ def open_zip(content: bytes) -> zipfile.ZipFile:
 
 
 def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    raw = archive.read(name)
+    try:
+        raw = archive.read(name)
+    except KeyError as error:
+        raise SourceFault("SOURCE_FORMAT_INVALID", f"no {name}") from error
     if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
         raise SourceFault("SOURCE_UNSAFE", "document type")
     try:
@@ -284,7 +287,10 @@ def _xlsx_cell(cell, shared: list[str], dates: set[int]) -> str:
     if value is None or value.text is None:
         return ""
     if kind == "s":
-        return shared[int(value.text)]
+        at = value.text.strip()
+        if not at.isdigit() or int(at) >= len(shared):
+            raise SourceFault("SOURCE_FORMAT_INVALID", "shared string")
+        return shared[int(at)]
     if kind == "b":
         return "TRUE" if value.text == "1" else "FALSE"
     if kind == "n" and int(cell.get("s", 0)) in dates:
@@ -322,7 +328,9 @@ def parse_xlsx(content: bytes) -> list[dict]:
     for sheet in _xml(archive, "xl/workbook.xml").iter():
         if _local(sheet.tag) != "sheet":
             continue
-        target = targets[next(v for k, v in sheet.attrib.items() if _local(k) == "id")]
+        target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id"), None))
+        if target is None:
+            raise SourceFault("SOURCE_FORMAT_INVALID", "a sheet without a part")
         path = target if target.startswith("xl/") else f"xl/{target}"
         rows: dict[int, dict[int, str]] = {}
         for row in _xml(archive, path).iter():

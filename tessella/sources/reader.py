@@ -11,22 +11,30 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.sources.parsers import SourceFault, parse_document
 
-BLOCKS = "doc_id string, source_name string, ord int, block_id string, kind string, text string, table_id string, table_rows array<array<string>>, section_path array<string>, sheet string, fault string"
-_TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.list_(pa.string()), pa.string(), pa.string()]
+BLOCKS = "doc_id string, source_name string, ord int, block_id string, kind string, text string, table_id string, table_rows array<array<string>>, section_path array<string>, sheet string, page int, fault string"
+_TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string()]
 _NAMES = [f.split(" ")[0] for f in BLOCKS.split(", ")]
 
 
+#: Fixed value: the code of a file that a parser stumbles over.
+UNFORESEEN = "SOURCE_FORMAT_INVALID"
+
+
 def rows_of(doc_id: str, name: str, content: bytes, registry: dict | None = None) -> Iterator[tuple]:
-    """A document's block rows, or one row with its fault."""
+    """A document's block rows, or one row with its fault; what a parser doesn't foresee is a fault of the format."""
     try:
-        blocks = parse_document(content, name, registry)
+        blocks, code = parse_document(content, name, registry), None
     except SourceFault as fault:
-        yield (doc_id, name, None, None, None, None, None, None, None, None, fault.code)
+        code = fault.code
+    except Exception:
+        code = UNFORESEEN
+    if code is not None:
+        yield (doc_id, name, None, None, None, None, None, None, None, None, None, code)
         return
     tables = 0
     for n, b in enumerate(blocks):
         tables += b["kind"] == "table"
-        yield (doc_id, name, n, f"block-{n + 1:06d}", b["kind"], b["text"], f"table-{tables:06d}" if b["kind"] == "table" else None, b["rows"], b["section"], b["sheet"], None)
+        yield (doc_id, name, n, f"block-{n + 1:06d}", b["kind"], b["text"], f"table-{tables:06d}" if b["kind"] == "table" else None, b["rows"], b["section"], b["sheet"], b.get("page"), None)
 
 
 def parse_files(files: DataFrame, registry: dict[str, Callable] | None = None) -> DataFrame:
