@@ -1,14 +1,16 @@
 """Per-document text statistics and, from them, the form of a document: prose, list, table or junk.
 
 Gradient-boosted trees (histogram splits, softmax over the forms) are trained on the statistics of a bounded sample of
-SAMPLE_ROWS documents, labelled weakly by what kind of lines fills most of their characters; the trees' scores are then
-calibrated on a holdout of at most HOLDOUT_ROWS hand-checked documents (a scale and an offset a form). The bounds are
-parameters; statistics and forms are computed for every document, over its whole text.
+SAMPLE_ROWS documents, labelled weakly by what kind of lines fills most of their characters. The trees don't see the
+statistics that the weak label is made of (TOLD): they tell the form by the others, so that a document whose lines are
+taken for the wrong kind can still be told right. Their scores are then calibrated on a holdout of at most HOLDOUT_ROWS
+hand-checked documents (a scale and an offset a form). The bounds are parameters; statistics and forms are computed for
+every document, over its whole text.
 
 Cases: null, empty and blank texts have statistics of 0 and no form (null); documents of any length are taken whole;
 labels that are null, unknown, or contradict another label of the document are no holdout; without any holdout the
-scores stay uncalibrated; with fewer than LEAST_SAMPLE documents or two weak forms to train on the line shares decide; repeated rows give
-repeated rows; extra columns are ignored; empty tables give no rows.
+scores stay uncalibrated; with fewer than LEAST_SAMPLE documents (a split needs two leaves) or two weak forms to train on
+the line shares decide; repeated rows give repeated rows; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +28,17 @@ from tessella.runtime import read_table, spread
 FORMS = ("prose", "list", "table", "junk")
 SAMPLE_ROWS = 6_000
 HOLDOUT_ROWS = 6_000
-LEAST_SAMPLE = 100
 ROUNDS, DEPTH, RATE, BINS, LEAF = 40, 3, 0.25, 32, 8
+LEAST_SAMPLE = 2 * LEAF
 MAX_WORDS = 1_000_000
 #: A lead-in of a sentence or two has at most so many characters, and what follows at least this share of all.
 LEAD_CHARS, LEAST_AFTER_LEAD = 260, 0.25
 
-#: What begins the line of a list or of a questionnaire printed item by item; what a line of prose ends with.
+#: What begins the line of a list or of a questionnaire printed item by item (a mark, a number, an item's
+#: code, a word in capitals before a name, a word or two and a colon); what a line of prose ends with.
 _MARKED = re.compile(
     r"(?:[-*•▪◦‣·+–—]\s+|\[[ xX]?\]\s*|[☐☑]\s*\w|\(?\d{1,3}[.)]\s*|\d{1,3}\s+[^\W\d_]|\d{1,3}[^\W\d_]|\(?[a-zа-я]\)\s*|[a-zа-я]\.\s"
-    r"|s\d+q\d+\b|[qvQV]\d+[a-z]?\b(?![;,\t]|\s{2})|SECTION\b|ITEM\b|(?:Question|Pregunta|Вопрос|Responses|Réponses|Respuestas|Ответы|Routing instruction|Applicability|Repeat entry)\s*:)"
+    r"|[a-z]\d+[a-z]\d+\b|[^\W\d_]{1,2}\d+[a-z]?\b(?![;,\t]|\s{2})|[A-Z]{4,12}\s+[A-Z\d]|[^\W\d_]+(?:\s[^\W\d_]+)?\s?:\s)"
 )
 _END = tuple(".!?…。\"»”)")
 _GAP = re.compile(r"\S\s{2,}\S")
@@ -90,6 +93,10 @@ STATISTICS = (
     "list_share", "table_share", "junk_share", "prose_share", "marked_line_share", "tight_delimiters_per_line", "letters_only_share", "short_line_share", "prose_sentences",
 )
 
+#: Statistics that the weak label is made of, and the places of the others, which the trees are grown on.
+TOLD = ("list_share", "table_share", "junk_share", "prose_share", "prose_sentences")
+FEATURES = [n for n, s in enumerate(STATISTICS) if s not in TOLD]
+
 
 def line_kind(line: str, classes: str) -> int:
     """Index in FORMS of what a stripped, non-blank line looks like; ``classes`` are those of its characters."""
@@ -167,7 +174,7 @@ def statistics(text: str | None, common: frozenset) -> list[float]:
             if kind == 0 and size <= ITEM_CHARS and line[-1] not in ".!?…:,;" and line.count(" ") < ITEM_WORDS and ". " not in line:
                 items[0] += 1
                 items[1] += size
-            elif items[0]:
+            elif items[0] and kind != 1:
                 settle()
             n_lines += 1
             marked += kind == 1
@@ -357,9 +364,9 @@ def train(documents: DataFrame, labels: DataFrame, common: frozenset, sample_row
     x = np.array([r["x"] for r in weak] or np.zeros((0, len(STATISTICS))))
     if len(x) < LEAST_SAMPLE or len(set(weak_forms(x))) < 2:
         return LineShares()
-    trees = Trees().fit(x, weak_forms(x))
+    trees = Trees().fit(x[:, FEATURES], weak_forms(x))
     if held:
-        trees.calibrate(np.array([r["x"] for r in held]), np.array([FORMS.index(r["form"]) for r in held]))
+        trees.calibrate(np.array([r["x"] for r in held])[:, FEATURES], np.array([FORMS.index(r["form"]) for r in held]))
     return trees
 
 
@@ -369,7 +376,7 @@ def document_forms(documents: DataFrame, labels: DataFrame, word_list: DataFrame
     model = train(documents, labels, common)
 
     def finish(batch, x):
-        p = model.probabilities(x)
+        p = model.probabilities(x if isinstance(model, LineShares) else x[:, FEATURES])
         blank = (x[:, 1:] == 0).all(axis=1)
         form = [None if b else FORMS[k] for k, b in zip(p.argmax(axis=1), blank)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, pa.string()), *(pa.array(p[:, k], mask=blank) for k in range(len(FORMS)))], ["doc_id", "doc_form", *FORMS])

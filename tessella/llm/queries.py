@@ -1,4 +1,4 @@
-"""Queries of this subpackage and the SQL they are compared with."""
+"""Queries of this subpackage and the SQL they are compared with; a module that is missing is an error."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ MODULES = ("lookalikes", "near_duplicates", "splitting", "scan_noise", "survivor
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
-    try:
-        _module = import_module(f"tessella.llm.{_name}")
-    except ModuleNotFoundError as error:
-        if error.name != f"tessella.llm.{_name}":
-            raise
-        continue
+    _module = import_module(f"tessella.llm.{_name}")
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

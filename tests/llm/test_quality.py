@@ -54,3 +54,15 @@ def test_operator_edge_cases(spark):
     assert out == [(1, ""), (2, ""), (3, ""), (4, "prose"), (4, "prose"), (5, "list"), (6, "table")]
     assert Q.document_forms(documents.limit(0), labels, words).count() == 0
     assert Q.text_statistics(documents, words.limit(0)).count() == len(rows)
+
+
+def test_trees_do_not_see_what_the_weak_label_is_made_of():
+    import numpy as np
+
+    x = np.random.default_rng(1).random((400, len(Q.STATISTICS)))
+    y = x[:, Q.STATISTICS.index("digit_ratio")] > 0.5
+    trees = Q.Trees().fit(x[:, Q.FEATURES], y.astype(int))
+    other = x.copy()
+    other[:, [Q.STATISTICS.index(s) for s in Q.TOLD]] = 0
+    assert (trees.probabilities(x[:, Q.FEATURES]) == trees.probabilities(other[:, Q.FEATURES])).all()
+    assert len(Q.FEATURES) == len(Q.STATISTICS) - len(Q.TOLD)
