@@ -278,12 +278,18 @@ def repeated_rows(rows: DataFrame, key: str, order: list[str], text: str) -> Dat
 
 
 def repeated_summary(repeated: DataFrame, key: str, most: int = 256) -> DataFrame:
-    """One row a document: rows, occurrences, and the rows' JSON, or its digest where it is longer than ``most``."""
-    packed = repeated.groupBy(key).agg(
-        F.count("*").alias("n_rows"), F.sum("n").alias("n_total"), F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("first", "row_text", "n"))), lambda r: F.struct(r["row_text"].alias("row"), r["n"].alias("count")))).alias("json")
-    )
-    long = F.length("json") > most
-    return packed.select(key, "n_rows", "n_total", F.when(~long, F.col("json")).alias("inventory"), F.when(long, F.sha2("json", 256)).alias("digest"))
+    """One row a document: rows, occurrences, and the rows' JSON, or a digest of them where it is longer than ``most``.
+
+    Rows are put together only where they may fit ``most``; the digest is of the rows as a set, summed up, so no document's
+    rows are collected for it.
+    """
+    part = lambda k: F.conv(F.substring(F.sha2(F.concat_ws(":", "n", "row_text"), 256), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")
+    sums = repeated.groupBy(key).agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_total"), F.sum(F.length("row_text")).alias("size"), *(F.sum(part(k)).alias(f"d{k}") for k in range(3)))
+    told = sums.withColumn("digest", F.sha2(F.concat_ws(":", "n_rows", *(F.col(f"d{k}").cast("string") for k in range(3))), 256))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("first", "row_text", "n"))), lambda r: F.struct(r["row_text"].alias("row"), r["n"].alias("count")))
+    small = repeated.join(sums.filter(F.col("size") <= most).select(key), key, "left_semi").groupBy(key).agg(F.to_json(rows).alias("json"))
+    fits = F.coalesce(F.length("json") <= most, F.lit(False))
+    return told.join(small, key, "left").select(key, "n_rows", "n_total", F.when(fits, F.col("json")).alias("inventory"), F.when(~fits, F.col("digest")).alias("digest"))
 
 
 def split_table_summary(parts: DataFrame) -> DataFrame:

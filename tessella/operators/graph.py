@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import row_numbers
 from tessella.runtime import cut_lineage
 
 MOST_ROUNDS = 10_000
+MOST_EDGES = 100_000
 
 
 def reachable(starts: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -156,8 +158,13 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, keys: list[str] | None =
 
 
 def adjacency(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``keys, node, edge_ids, neighbours``: edges out in order of ``rank``; each neighbour once, where it comes first."""
+    """``keys, node, edge_ids, neighbours``: edges out in order of ``rank``; each neighbour once, where it comes first.
+
+    A node's arrays are one row's; a node of more than MOST_EDGES edges is refused, and ``numbered_edges`` is for such graphs.
+    """
     keys = keys or []
+    if edges.groupBy(*keys, "source").count().filter(F.col("count") > MOST_EDGES).head(1):
+        raise ValueError(f"a node has more than {MOST_EDGES} edges")
     ordered = F.sort_array(F.collect_list(F.struct("rank", "edge_id", "target")))
     return edges.groupBy(*keys, F.col("source").alias("node")).agg(ordered.alias("e")).select(*keys, "node", F.transform("e", lambda x: x["edge_id"]).alias("edge_ids"), F.array_distinct(F.transform("e", lambda x: x["target"])).alias("neighbours"))
 
@@ -221,3 +228,8 @@ def undeclared_components(components: DataFrame, regions: DataFrame) -> DataFram
     held = components.join(regions.select("region", "node"), "node").groupBy("component", "region").agg(F.count("*").alias("inside"))
     whole = held.join(sizes, "component").filter("inside = n").select("component").distinct()
     return sizes.join(whole, "component", "left_anti").select("component")
+
+
+def numbered_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``edges`` with ``place``: each edge's number, from 1, among those of its source in order of ``rank``; for nodes of any degree."""
+    return row_numbers(edges, [*(keys or []), "source"], ["rank", "edge_id"], "place")

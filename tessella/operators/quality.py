@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,16 +55,24 @@ def similar_questions(records: DataFrame, least: float = SIMILARITY) -> DataFram
 
     a and b are the smallest record ids of their sets; equal sets are one class, so copies aren't paired. Candidates share
     one of the rarest words of both (prefix filter): sets of n words with similarity t share at least ceil(t*n) words, so
-    the first n - ceil(t*n) + 1 words in order of frequency can't all be missing from the other.
+    the first n - ceil(t*n) + 1 words in order of frequency can't all be missing from the other. The key has the band of
+    sizes besides the word, as sets of too unlike sizes can't be similar, and a word of a survey's template then stands for
+    less of it; and a pair goes on only from the first word of both that it shares, if what is left of both is enough.
     """
     classes = cut_lineage(token_sets(records).groupBy("survey_id", "tokens").agg(F.min("record_id").alias("rep")))
     words = classes.select("survey_id", "rep", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
     frequency = words.groupBy("survey_id", "word").agg(F.count("*").alias("f"))
     ranked = words.join(frequency, ["survey_id", "word"]).groupBy("survey_id", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "word"))).alias("ranked"))
-    prefix = ranked.select("survey_id", "rep", "n", F.explode(F.slice("ranked", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("p")).select("survey_id", "rep", "n", F.col("p.word").alias("word"))
-    other = prefix.select("survey_id", "word", F.col("rep").alias("b"), F.col("n").alias("m"))
-    close = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
-    candidates = prefix.withColumnRenamed("rep", "a").join(other, ["survey_id", "word"]).filter(close).select("survey_id", "a", "b").distinct()
+    band = F.floor(F.log(F.col("n")) / math.log(1 / least) + 1e-9).cast("int")
+    prefix = ranked.select("survey_id", "rep", "n", band.alias("band"), F.posexplode(F.slice("ranked", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("at", "p"))
+    prefix = prefix.select("survey_id", "rep", "n", "at", "band", F.col("p.word").alias("word"))
+    # The larger set meets those of its own band and of the one below.
+    larger = prefix.select("survey_id", "word", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("at_y"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rep") < F.col("y")))
+    left_over = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at_y"))
+    close = smaller & (F.col("n") >= least * F.col("m") - 1e-9) & (left_over >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9)
+    met = prefix.join(larger, ["survey_id", "word", "band"]).filter(close)
+    candidates = met.select("survey_id", F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
     left, right = classes.select("survey_id", F.col("rep").alias("a"), F.col("tokens").alias("x")), classes.select("survey_id", F.col("rep").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     scored = candidates.join(left, ["survey_id", "a"]).join(right, ["survey_id", "b"]).select("survey_id", "a", "b", both.alias("common"), (F.size("x") + F.size("y") - both).alias("either"))
@@ -103,7 +113,7 @@ def record_flags(records: DataFrame, threshold: float = CONFIDENCE) -> DataFrame
     )
 
 
-def apply_policy(records: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
+def apply_policy(records: DataFrame, threshold: float = CONFIDENCE, similarity: float = SIMILARITY) -> DataFrame:
     """``survey_id, record_id, source_order, status, needs_review, reasons, module``: status is kept, excluded (an inverted
     range) or duplicate; reasons stand in the policy's order."""
     flagged = record_flags(records, threshold)
@@ -111,7 +121,7 @@ def apply_policy(records: DataFrame, threshold: float = CONFIDENCE) -> DataFrame
     dropped = cut_lineage(overlap_duplicates(sound)).withColumn("dropped", F.lit(True))
     kept = sound.join(dropped, "record_id", "left_anti")
     names = repeated_names(kept).select("survey_id", "name", F.lit(True).alias("name_repeats"))
-    similar = similar_records(kept).distinct().withColumn("is_similar", F.lit(True))
+    similar = similar_records(kept, similarity).distinct().withColumn("is_similar", F.lit(True))
     out = flagged.withColumn("name", F.lower("raw_name")).join(dropped, "record_id", "left").join(names, ["survey_id", "name"], "left").join(similar, "record_id", "left")
     status = F.when(F.col("is_inverted"), F.lit("excluded")).when(F.col("dropped"), F.lit("duplicate")).otherwise(F.lit("kept"))
     flags = (F.col("needs_review"), F.col("low_confidence"), F.col("missing_categories"), F.col("name_repeats"), F.col("is_similar"))
@@ -121,7 +131,7 @@ def apply_policy(records: DataFrame, threshold: float = CONFIDENCE) -> DataFrame
     )
 
 
-def policy_diagnostics(records: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
+def policy_diagnostics(records: DataFrame, threshold: float = CONFIDENCE, similarity: float = SIMILARITY) -> DataFrame:
     """``survey_id, phase, position, seq, code, subject``: records' own findings first, then names, then pairs."""
     flagged = record_flags(records, threshold)
     sound = flagged.filter("not is_inverted")
@@ -136,7 +146,7 @@ def policy_diagnostics(records: DataFrame, threshold: float = CONFIDENCE) -> Dat
         own(kept.filter("module_replaced"), 4, "module_reconciled"),
     ]
     names = repeated_names(kept).select("survey_id", F.lit(2).alias("phase"), F.col("first_order").alias("source_order"), F.lit(5).alias("seq"), F.lit("duplicate_raw_name").alias("code"), F.col("name").alias("subject"))
-    pairs = similar_questions(kept).select("survey_id", F.lit(3).alias("phase"), F.col("a").cast("int").alias("source_order"), F.lit(6).alias("seq"), F.lit("possible_duplicate").alias("code"), F.concat_ws(":", "a", "b").alias("subject"))
+    pairs = similar_questions(kept, similarity).select("survey_id", F.lit(3).alias("phase"), F.col("a").cast("int").alias("source_order"), F.lit(6).alias("seq"), F.lit("possible_duplicate").alias("code"), F.concat_ws(":", "a", "b").alias("subject"))
     out = parts[0]
     for part in [*parts[1:], names, pairs]:
         out = out.unionByName(part)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,17 +66,25 @@ def missing_references(owners: DataFrame, owner_id: str, array: str, targets: Da
 
 
 def neighbours_of(targets: DataFrame, inventory: DataFrame, keys: list[str], before: int = 3) -> DataFrame:
-    """``keys, target, node_id, why``: the items just before a target and the last item of each section before it.
+    """``keys, target, node_id, why``: the items just before a target and the last item of each other section before it.
 
-    Windows over the inventory in order; ``lag`` keeps the preceding items without a range join.
+    One fold over the inventory in order: it holds the last items and the last item of each section seen.
     """
-    w = Window.partitionBy(*keys).orderBy("source_order")
-    lags = inventory.select(*keys, "node_id", F.array_compact(F.array(*(F.lag("node_id", n).over(w) for n in range(1, before + 1)))).alias("before"))
-    near = targets.join(lags, [*keys, "node_id"]).select(*keys, F.col("node_id").alias("target"), F.explode("before").alias("node_id"), F.lit("preceding").alias("why"))
-    ends = inventory.groupBy(*keys, "section").agg(F.max(F.struct("source_order", "node_id")).alias("last"))
-    place = targets.join(inventory.select(*keys, "node_id", "source_order", F.col("section").alias("own")), [*keys, "node_id"])
-    far = place.join(ends, keys).filter((F.col("section") != F.col("own")) & (F.col("last.source_order") < F.col("source_order"))).select(*keys, F.col("node_id").alias("target"), F.col("last.node_id").alias("node_id"), F.lit("section_end").alias("why"))
-    return near.unionByName(far)
+    kind = inventory.schema["node_id"].dataType
+    schema = T.StructType([*(inventory.schema[k] for k in keys), T.StructField("target", kind), T.StructField("node_id", kind), T.StructField("why", T.StringType())])
+    marked = inventory.select(*keys, "source_order", "node_id", "section").join(targets.select(*keys, "node_id", F.lit(True).alias("is_target")), [*keys, "node_id"], "left")
+
+    def step(seen, row):
+        near, ends = seen
+        out = []
+        if row["is_target"]:
+            own = (*(row[k] for k in keys), row["node_id"])
+            out = [(*own, item, "preceding") for item in near] + [(*own, item, "section_end") for section, item in ends.items() if section != row["section"]]
+        near.append(row["node_id"])
+        ends[row["section"]] = row["node_id"]
+        return out
+
+    return ordered_fold(marked, keys, ["source_order", "node_id"], lambda: (deque(maxlen=before), {}), step, lambda seen, key: [], schema)
 
 
 def reviewed_edges(accepted: DataFrame, candidates: DataFrame, decisions: DataFrame, replacements: DataFrame) -> DataFrame:

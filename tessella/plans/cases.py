@@ -16,8 +16,8 @@ from tessella.functions import redact as R
 from tessella.functions import text as T
 from tessella.operators import claims, evaluate, forms, graph, provider, quality, regions, resolve, review, risks, validate
 from tessella.operators import chunking as K
-from tessella.plans import routing
-from tessella.sources import parsers
+from tessella.plans import extraction, routing
+from tessella.sources import pages, parsers
 from tessella.sources.reader import parse_files
 
 QUERIES: dict = {}
@@ -395,6 +395,50 @@ def numbered_blocks(spark):
     return blocks.number_blocks(rows, "doc_id", "ord").select("ord", "block_id", "text")
 
 
+def pdf(*pages: str) -> bytes:
+    """A PDF file of pages with these content streams."""
+    kids = " ".join(f"{3 + 2 * n} 0 R" for n in range(len(pages)))
+    parts = ["1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", f"2 0 obj << /Type /Pages /Kids [{kids}] /Count {len(pages)} >> endobj"]
+    for n, page in enumerate(pages):
+        parts += [f"{3 + 2 * n} 0 obj << /Type /Page /Parent 2 0 R /Contents {4 + 2 * n} 0 R >> endobj", f"{4 + 2 * n} 0 obj << /Length {len(page)} >> stream\n{page}\nendstream endobj"]
+    return ("%PDF-1.4\n" + "\n".join(parts)).encode("cp1252")
+
+
+@case("source_name string, block_id string, body string, page int, fault string", [
+    ("a.pdf", "block-000001", "Who owns (it)?", 1, None), ("a.pdf", "block-000002", "Yes", 1, None), ("a.pdf", "block-000003", "Né", 2, None), ("b.pdf", None, None, None, "SOURCE_DEPENDENCY_MISSING"), ("c.pdf", None, None, None, "SOURCE_ENCRYPTED"),
+])
+def parsed_pages(spark):
+    one, two = "BT /F1 12 Tf 72 700 Td (Who owns \\(it\\)?) Tj 0 -14 Td [(Y) -20 (es)] TJ ET", "BT 72 700 Td <4EE9> Tj ET"
+    files = {"a.pdf": pdf(one, two), "b.pdf": pdf("q Q"), "c.pdf": b"%PDF-1.4 trailer << /Encrypt 5 0 R >>"}
+    return _files(spark, files).select("source_name", "block_id", F.col("text").alias("body"), "page", "fault")
+
+
+@case("n int, kind string, body string, page int, section string", [(1, "text", "One", 1, "One"), (2, "text", "- item", 1, "One"), (3, "text", "Sub", 2, "One/Sub"), (4, "table", "a.x | b\n1 | 2", 2, "One/Sub"), (5, "text", "Two", 3, "Two")])
+def page_layout(spark):
+    cell = lambda row, column, text, head=False: {"row": row, "column": column, "text": text, "is_header": head}
+    items = [
+        (1, [{"kind": "heading", "text": "One", "level": 1}, {"kind": "list", "text": "item", "marker": "-"}, {"kind": "furniture", "text": "7"}, {"kind": "text", "text": "  "}]),
+        (2, [{"kind": "heading", "text": "Sub", "level": 2}, {"kind": "table", "cells": [cell(0, 0, "a", True), cell(0, 1, "b", True), cell(1, 0, "x", True), cell(2, 0, "1"), cell(2, 1, "2")]}]),
+        (3, [{"kind": "heading", "text": "Two", "level": 1}]),
+    ]
+    rows = [(n, b["kind"], b["text"], b["rows"], b["page"], "/".join(b["section"])) for n, b in enumerate(pages.layout_blocks(items), 1)]
+    made = frame(spark, "n int, kind string, text string, table_rows array<array<string>>, page int, section string", rows)
+    return made.select("n", "kind", F.coalesce("text", T.render_table(F.col("table_rows"))).alias("body"), "page", "section")
+
+
+@case("total int, converted string, failed string", [(4, "1,3", "2,4")])
+def page_coverage(spark):
+    def convert(content, number, options):
+        if number == 2:
+            raise RuntimeError("no page")
+        return [{"kind": "text", "text": str(number)}]
+
+    ticks = iter([0.0, 0.0, 1.0, 2.0, 99.0])
+    _, told = pages.convert_pages(b"", 9, convert, pages.PageOptions(first_pages=4, deadline=9.0, partial_on_deadline=True), lambda: next(ticks))
+    join = lambda k: ",".join(map(str, told[k]))
+    return frame(spark, "total int, converted string, failed string", [(told["total_units"], join("converted_units"), join("failed_units"))])
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------
 
 
@@ -690,6 +734,27 @@ def graph_findings(spark):
     return routing.analyse(nodes, edges, ["doc"]).select("code", "node")
 
 
+@case("code string, node string, place long", [("duplicate_edge", "a", 1), ("unreachable", "x", 2), ("dead_end", "b", 3), ("dead_end", "c", 4)])
+def findings_in_order(spark):
+    found = frame(spark, "doc string, code string, node string", [("d", "dead_end", "c"), ("d", "unreachable", "x"), ("d", "dead_end", "b"), ("d", "duplicate_edge", "a")])
+    return routing.ordered_findings(found, ["doc"]).select("code", "node", "place")
+
+
+@case("record_id long, page int, source_page int, sheet string, section string", [(1, 3, 2, None, "A/B"), (2, None, None, "S", "S"), (3, None, None, None, None), (4, None, None, None, None)])
+def record_places(spark):
+    records = frame(spark, "survey_id string, record_id long, source_block_ids array<string>", [("d", 1, ["b1", "b2"]), ("d", 2, ["b2"]), ("d", 3, []), ("d", 4, ["gone"])])
+    blocks = frame(spark, "doc_id string, block_id string, page int, sheet string, section_path array<string>", [("d", "b1", 3, None, ["A", "B"]), ("d", "b2", None, "S", ["S"])])
+    told = extraction.with_provenance(records, blocks)
+    return told.select("record_id", "prov.page", "source_page", "prov.sheet", F.array_join("prov.section_path", "/").alias("section"))
+
+
+@case("target string, node_id string, why string", [("e", "d", "preceding"), ("e", "c", "preceding"), ("e", "b", "preceding"), ("e", "a", "section_end"), ("e", "c", "section_end")])
+def target_neighbours(spark):
+    items = [("a", "s"), ("b", "t"), ("c", "t"), ("d", "u"), ("e", "u")]
+    inventory = frame(spark, "doc string, source_order int, node_id string, section string", [("d", n, *x) for n, x in enumerate(items)])
+    return review.neighbours_of(inventory.filter("node_id = 'e'"), inventory, ["doc"]).select("target", "node_id", "why")
+
+
 @case("source int, target int", [(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3)])
 def scale_edges(spark):
     return graph.scale_graph(spark, 5, 6)

@@ -98,9 +98,9 @@ def convert_blocks(blocks: DataFrame, make_provider: Callable, config: Config =
     metadata, metadata_calls = survey_metadata(chunks, blocks, make_provider, config, extraction_date or datetime.date.today())
     records, calls = extract_records(chunks, blocks, make_provider, config)
     records = cut_lineage(with_provenance(records, blocks))
-    policy = quality.apply_policy(records, config.confidence_threshold)
+    policy = quality.apply_policy(records, config.confidence_threshold, config.similarity_threshold)
     variables = records.join(policy.filter("status = 'kept'").select("record_id", "reasons", F.col("needs_review").alias("review"), F.col("module").alias("final_module")), "record_id").drop("needs_review", "module").withColumnsRenamed({"review": "needs_review", "final_module": "module"})
-    diagnostics = quality.policy_diagnostics(records, config.confidence_threshold)
+    diagnostics = quality.policy_diagnostics(records, config.confidence_threshold, config.similarity_threshold)
     parts = [
         blocks.groupBy("doc_id").agg(F.bool_and(F.col("fault").isNull()).alias("has_output"), F.count("fault").alias("n_failed")).select("doc_id", "has_output", "n_failed", F.lit(0).alias("n_errors"), F.lit(0).alias("n_partial_codes")),
         calls.select("doc_id", F.lit(False).alias("has_output"), (~F.col("ok")).cast("int").alias("n_failed"), F.lit(0).alias("n_errors"), F.lit(0).alias("n_partial_codes")),

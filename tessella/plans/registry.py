@@ -524,6 +524,12 @@ def adjacency(table):
     return graph.adjacency(edges).select("node", F.array_join("edge_ids", ",").alias("edge_ids"), F.size("neighbours").cast("long").alias("n_neighbours"))
 
 
+@query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_partkey, l_linenumber) as place from lineitem")
+def numbered_edges(table):
+    edges = table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("rank"), F.col("l_linenumber").alias("edge_id"))
+    return graph.numbered_edges(edges).select("l_orderkey", "l_linenumber", "place")
+
+
 def _order_graph(table):
     """A sparse directed graph: customers to places derived from their orders, some of which are customers again."""
     return table("orders").select(F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 37) % 10007).alias("target"))

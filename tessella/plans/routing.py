@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import conditions as C
 from tessella.functions import identity as I
 from tessella.operators import claims, graph, resolve
+from tessella.operators.ordered import row_numbers
 from tessella.runtime import cut_lineage
 
 #: Findings of a graph's analysis, in order.
@@ -106,3 +107,9 @@ def reconcile(inventory: DataFrame, evidence: DataFrame, keys: list[str]) -> dic
     marked = cut_lineage(claims.mark_issues(built, keys, has_local=True))
     edges = claims.accepted_edges(marked).withColumn("edge_id", claims.edge_id(F.col("source"), F.col("target"), F.col("kind"), F.col("condition_key"), F.col("priority")))
     return {"edges": edges, "candidates": claims.candidates(marked), "discrepancies": claims.discrepancies(marked, keys)}
+
+
+def ordered_findings(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings with ``place``: their order in a graph, by the code's place in CODES and then by node."""
+    rank = F.create_map(*(x for n, c in enumerate(CODES) for x in (F.lit(c), F.lit(n))))
+    return row_numbers(found.withColumn("rank", rank[F.col("code")]), keys, ["rank", "node"], "place").drop("rank")

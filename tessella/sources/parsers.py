@@ -403,10 +403,16 @@ def _missing(what: str) -> Callable[[bytes], list[dict]]:
     return parse
 
 
+def _pdf(content: bytes) -> list[dict]:
+    from tessella.sources.pages import parse_pdf
+
+    return parse_pdf(content)
+
+
 #: Suffix to parser; a converter for scanned pages or legacy office files can be registered in its place.
 REGISTRY: dict[str, Callable[[bytes], list[dict]]] = {
     "txt": parse_text, "csv": parse_csv, "md": parse_markdown, "markdown": parse_markdown, "html": parse_html, "htm": parse_html, "xlsx": parse_xlsx, "docx": parse_docx,
-    "pdf": _missing("a page converter"), "doc": _missing("an office converter"), "xls": _missing("an office converter"),
+    "pdf": _pdf, "doc": _missing("an office converter"), "xls": _missing("an office converter"),
 }
 
 

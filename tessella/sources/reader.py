@@ -74,9 +74,13 @@ def read_blocks(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return parse_files(read_files(spark, path, pattern))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes of files that one task reads, about.
+LOT = 32 * 1024 * 1024
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _FolderReader(DataSourceReader):
@@ -84,25 +88,33 @@ class _FolderReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
+        """Files in lots of about LOT bytes; the walk lists names and sizes only."""
         import os
 
-        found = [os.path.join(root, f) for root, _, files in os.walk(self.path) for f in files]
-        return [_File(p) for p in sorted(found)] or [_File("")]
+        lots, size = [[]], 0
+        for path in sorted(os.path.join(root, f) for root, _, files in os.walk(self.path) for f in files):
+            own = os.path.getsize(path)
+            if lots[-1] and size + own > LOT:
+                lots.append([])
+                size = 0
+            lots[-1].append(path)
+            size += own
+        return [_Files(paths) for paths in lots]
 
     def read(self, partition):
         import hashlib
         import os
 
-        if partition.path:
-            with open(partition.path, "rb") as file:
+        for path in partition.paths:
+            with open(path, "rb") as file:
                 content = file.read()
-            name = os.path.basename(partition.path)
+            name = os.path.basename(path)
             doc_id = hashlib.sha256(f"{name}:{hashlib.sha256(content).hexdigest()}".encode()).hexdigest()
             yield from rows_of(doc_id, name, content)
 
 
 class DocumentFolder(DataSource):
-    """``spark.read.format("tessella_documents").load(path)`` over a shared folder: one task a file."""
+    """``spark.read.format("tessella_documents").load(path)`` over a shared folder: one task a lot of files."""
 
     @classmethod
     def name(cls):

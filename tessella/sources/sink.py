@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Names that some file systems reserve.
 RESERVED = frozenset(["con", "prn", "aux", "nul", *(f"com{n}" for n in range(1, 10)), *(f"lpt{n}" for n in range(1, 10))])
@@ -36,25 +36,18 @@ def _write(path: str, content: bytes) -> None:
     os.replace(part, path)
 
 
-def _files(folder: str) -> list[dict]:
-    out = []
-    for root, _, names in os.walk(folder):
-        for name in sorted(names):
-            if name.startswith(".") or name == "manifest.json":
-                continue
-            path = os.path.join(root, name)
-            digest = hashlib.sha256()
-            with open(path, "rb") as file:
-                for part in iter(lambda: file.read(1 << 20), b""):
-                    digest.update(part)
-            out.append({"path": os.path.relpath(path, folder), "sha256": digest.hexdigest(), "size": os.path.getsize(path)})
-    return sorted(out, key=lambda f: f["path"])
+def _files(spark: SparkSession, folder: str) -> list[dict]:
+    """Path, digest and size of each file of a generation; the tasks read and digest them, a row a file comes back."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = read.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).collect()
+    told = [{"path": r["path"].rpartition(f"/{os.path.basename(folder)}/")[2], "sha256": r["sha256"], "size": r["size"]} for r in rows]
+    return sorted(told, key=lambda f: f["path"])
 
 
 def publish(tables: dict[str, DataFrame], root: str, name: str, overwrite: bool = False) -> str:
     """Writes ``tables`` as a new generation of ``name`` and points to it; gives the generation's id.
 
-    The executors write the tables; the driver adds the manifest (with digests) and moves the pointer last, by one
+    The executors write and digest the tables; the driver adds the manifest and moves the pointer last, by one
     rename, so readers see the old generation or the new one. A generation without a manifest was cut off and is
     swept by ``recover``. Names that differ only in case collide.
     """
@@ -83,7 +76,7 @@ def publish(tables: dict[str, DataFrame], root: str, name: str, overwrite: bool
         for table, df in tables.items():
             df.write.mode("errorifexists").parquet(os.path.join(folder, portable(table)))
         schemas = {table: json.loads(df.schema.json()) for table, df in tables.items()}
-        manifest = {"schema_version": 2, "name": name, "generation": generation, "tables": schemas, "files": _files(folder)}
+        manifest = {"schema_version": 2, "name": name, "generation": generation, "tables": schemas, "files": _files(next(iter(tables.values())).sparkSession, folder) if tables else []}
         _write(os.path.join(folder, "manifest.json"), json.dumps(manifest, indent=2, sort_keys=True).encode())
         _write(pointer, json.dumps({"generation": generation}).encode())
         return generation
@@ -125,6 +118,4 @@ def recover(root: str, name: str) -> list[str]:
 
 def operational_sidecar(diagnostics: DataFrame) -> DataFrame:
     """Diagnostics without anything from the source: code, severity and a fixed text."""
-    from pyspark.sql import functions as F
-
     return diagnostics.select("code", "severity", F.lit("Details are withheld.").alias("message"))
