@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +157,11 @@ def chunk_cover(table):
 @query("select doc_id, text as whole, true as fits from documents where text is not null")
 def text_pieces(table):
     """Texts cut at blanks into pieces of 1,000 bytes and put together again."""
-    pieces = F.pandas_udf(lambda texts: texts.map(lambda t: K.split_text(t, 1_000)), "array<string>", F.PandasUDFType.SCALAR)
+
+    def cut_all(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: K.split_text(t, 1_000))
+
+    pieces = F.pandas_udf(cut_all, "array<string>")
     cut = table("documents").filter("text is not null").select("doc_id", pieces("text").alias("p"))
     return cut.select("doc_id", F.array_join("p", "").alias("whole"), F.forall("p", lambda x: F.octet_length(x) <= 1_000).alias("fits"))
 

@@ -116,3 +116,42 @@ def test_pointer(spark):
 def test_escape_invisible(spark):
     df = spark.createDataFrame([("a​é ",), ("plain",), (None,)], "t string")
     assert [r[0] for r in df.select(T.escape_invisible(F.col("t"))).collect()] == ["a\\u200bé\\u2028", "plain", None]
+
+
+@pytest.mark.parametrize("text", ["Authorization: Custom abc def", "Proxy-Authorization=Custom abc def", 'Authorization: Digest username="abc", response="def"', "Ocp-Apim-Subscription-Key: abc def", '{"authorization":"abc def"}', "https://abc:def@host/x", "https://h/x?api%5Fkey=abc%20def", "refresh-token = abcdef"])
+def test_nothing_of_a_secret_is_left(spark, text):
+    out = spark.range(1).select(R.redacted(F.lit(text))).first()[0]
+    assert out == R.redact_text(text) and "abc" not in out and "def" not in out
+
+
+def test_errors_are_told_with_their_causes():
+    try:
+        try:
+            raise ValueError("endpoint?access_token=inner")
+        except ValueError as cause:
+            raise RuntimeError("failed on my answer") from cause
+    except RuntimeError as error:
+        told = R.redact_error(error, ("my answer",))
+        assert told == f"RuntimeError: failed on {R.MASK} <- ValueError: endpoint?access_token={R.MASK}"
+        error.__cause__.__cause__ = error
+        assert R.redact_error(error).count("<-") == 1
+
+
+def test_data_helpers():
+    from tessella.functions import data as D
+
+    assert D.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": None, "c": 3}, "d": [None]}) == {"a": {"b": 1, "c": 3}, "d": [None]}
+    assert not D.same_data([1, True], [1, 1]) and D.same_data({"a": [None]}, {"a": [None]})
+    strict = D.strict_schema({"type": "object", "title": "T", "properties": {"title": {"type": "string", "description": "d"}, "n": {"anyOf": [{"type": "integer"}, {"type": "null"}]}}})
+    assert strict == {"type": "object", "properties": {"title": {"type": "string"}, "n": {"anyOf": [{"type": "integer"}, {"type": "null"}]}}, "required": ["title", "n"], "additionalProperties": False}
+    for loose in ({"type": "object"}, {}, {"type": "object", "properties": {"a": {}}}, {"type": "object", "properties": {"a": {"type": "string"}}, "additionalProperties": True}):
+        with pytest.raises(D.OpenSchema):
+            D.strict_schema(loose)
+
+
+def test_checkpoints_of_a_cluster_need_a_shared_folder():
+    from tessella.runtime import checkpoint_folder
+
+    assert checkpoint_folder("/shared", "spark://x:7077") == "/shared" and checkpoint_folder(None, "local[4]")
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(None, "spark://x:7077")

@@ -280,3 +280,14 @@ def test_map_reduce(spark):
     chunks = spark.createDataFrame([("d", 0, "c0", "a"), ("d", 1, "c1", "boom"), ("e", 0, "c0", "a"), ("f", 0, "c0", "boom")], "doc_id string, chunk_ord int, chunk_id string, text string")
     out = {r.doc_id: (r.status, r.n_failed, r.result) for r in P.map_reduce(chunks, P.rule_provider(length_or_fail), "n long", lambda a: F.size(a)).collect()}
     assert out == {"d": ("partial", 1, 1), "e": ("success", 0, 1), "f": ("failed", 1, None)}
+
+
+def test_row_numbers_run_on_through_a_hot_key(spark):
+    from tessella.operators.ordered import row_numbers
+
+    rows = spark.createDataFrame([("a" if n % 10 else None, n * 7919 % 5000) for n in range(5000)], "k string, ord int")
+    out = row_numbers(rows, ["k"], ["ord"], "place").collect()
+    for key in ("a", None):
+        mine = sorted((r.ord, r.place) for r in out if r.k == key)
+        assert [p for _, p in mine] == list(range(1, len(mine) + 1))
+    assert len(out) == 5000

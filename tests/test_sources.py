@@ -119,3 +119,14 @@ def test_publishing(spark, tmp_path):
     for bad in ("", "con", "a/b", "../x", "x.", "nul.txt"):
         with pytest.raises(sink.PublishError):
             sink.portable(bad)
+
+
+def test_what_a_parser_stumbles_over_is_a_row(spark):
+    from tessella.sources.reader import parse_files
+
+    def broken(content):
+        raise ZeroDivisionError
+
+    files = spark.createDataFrame([("1", "a.odd", b"x"), ("2", "b.txt", b"fine")], "doc_id string, source_name string, content binary")
+    out = {r.doc_id: (r.fault, r.text) for r in parse_files(files, {"odd": broken, "txt": __import__("tessella.sources.parsers", fromlist=["x"]).parse_text}).collect()}
+    assert out == {"1": ("SOURCE_FORMAT_INVALID", None), "2": (None, "fine")}
