@@ -27,14 +27,17 @@ from pyspark.sql import functions as F
 
 from tessella.runtime import read_table, spread
 
-#: Letters of several scripts that look the same, one class a word; Latin, Greek, Cyrillic, Armenian.
+#: Letters of several scripts that look the same, one class a word; Latin, Greek, Cyrillic, Armenian, and the
+#: capitals of Cherokee and Lisu.
 LOOK_ALIKES = (
-    "AΑА BΒВ CСϹ EΕЕ FϜ GԌ HΗН IΙІӀ JЈ KΚК MΜМ NΝ OΟОՕ PΡР QԚ SЅՏ TΤТ UՍ VѴ WԜ XΧХ YΥУҮ ZΖ ГΓ ПΠ ФΦ "
-    "aаα cсϲ dԁ eе gց hһհ iіι jјϳ lӏ nո oоοօ pрρ qԛ sѕ uυս vνѵ wԝ xх yуγү кκ"
+    "AΑАᎪꓮ BΒВᏴꓐ CСϹᏟꓚ DᎠꓓ EΕЕᎬꓰ FϜꓝ GԌᏀꓖ HΗНᎻꓧ IΙІӀꓲ JЈᎫꓙ KΚКᏦꓗ LᏞꓡ MΜМᎷꓟ NΝꓠ OΟОՕꓳ PΡРᏢꓑ QԚ SЅՏᏚꓢ TΤТᎢꓔ UՍꓴ VѴᏙꓦ WԜᎳꓪ XΧХꓫ YΥУҮꓬ ZΖᏃꓜ ГΓ ПΠ ФΦ "
+    "aаαɑ cсϲ dԁ eе gցɡ hһհ iіι jјϳ lӏ nո oоοօ pрρ qԛ sѕ uυս vνѵ wԝ xх yуγү кκ"
 )
 #: Invisible characters that are not of the category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 JOINED = range(0xFB00, 0xFB07)
+#: Signs of numerals that are drawn as letters.
+NUMERALS = range(0x2160, 0x2180)
 MAX_VOCABULARY = 1_000_000
 CACHED_TEXTS = 100_000
 
@@ -49,7 +52,7 @@ def units_of(char: str) -> str:
     if unicodedata.category(char) == "Cf" or char in INVISIBLE:
         return ""
     kind = unicodedata.decomposition(char).partition(" ")[0]
-    if kind in ("<wide>", "<narrow>") or ord(char) in JOINED:
+    if kind in ("<wide>", "<narrow>") or ord(char) in JOINED or ord(char) in NUMERALS:
         char = unicodedata.normalize("NFKC", char)
     return unicodedata.normalize("NFD", char)
 

@@ -115,7 +115,7 @@ def _pack_partition(profiles: list[tuple[str, int]], count, limit: int):
     return run
 
 
-def _pack_leftovers(capacities: dict[int, int], limit: int):
+def _pack_leftovers(capacities: dict[int, int]):
     """The second round over the open containers of a group of partitions: larger ones first."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +152,7 @@ def pack_texts(documents: DataFrame, profiles: DataFrame, key: str = "doc_id", t
         ledger.filter("open")
         .select("profile", "part", "bin", "n_tokens", F.floor(F.col("part") / GROUP).alias("set"))
         .groupBy("profile", "set")
-        .applyInPandas(_pack_leftovers({p: c for p, (_, c) in enumerate(plan)}, open_bins), "profile int, part int, bin long, to_part int, to_bin long")
+        .applyInPandas(_pack_leftovers({p: c for p, (_, c) in enumerate(plan)}), "profile int, part int, bin long, to_part int, to_bin long")
     )
     names = F.element_at(F.array(*[F.lit(n) for n, _ in plan]) if plan else F.array(F.lit(None).cast("string")), F.col("profile") + 1)
     return (

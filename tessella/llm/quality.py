@@ -315,7 +315,7 @@ def collect_common(word_list: DataFrame) -> frozenset:
     return frozenset(r[0] for r in rows if r[0])
 
 
-def _map_statistics(common: frozenset, finish, types: list):
+def _map_statistics(common: frozenset, finish):
     """Arrow function: statistics of (key, text, ...), given to ``finish`` with the batch's other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +335,7 @@ def text_statistics(documents: DataFrame, word_list: DataFrame, key: str = "doc_
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["key", *STATISTICS])
 
     source = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    out = source.mapInArrow(_map_statistics(collect_common(word_list), finish, []), f"key {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    out = source.mapInArrow(_map_statistics(collect_common(word_list), finish), f"key {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
     return out.withColumnRenamed("key", key)
 
 
@@ -356,7 +356,7 @@ def train(documents: DataFrame, labels: DataFrame, common: frozenset, sample_row
         flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], ["draw", "form", "x"])
 
-    rows = chosen.mapInArrow(_map_statistics(common, finish, []), "draw long, form string, x array<double>")
+    rows = chosen.mapInArrow(_map_statistics(common, finish), "draw long, form string, x array<double>")
     rows = rows.orderBy(F.col("form").isNull(), "draw").limit(holdout_rows + sample_rows).collect()
     rows = [r for r in rows if not (all(v == 0 for v in r["x"][1:]))]
     weak = sorted((r for r in rows if r["form"] is None), key=lambda r: r["draw"])[:sample_rows]
@@ -383,7 +383,7 @@ def document_forms(documents: DataFrame, labels: DataFrame, word_list: DataFrame
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     source = spread(documents.select("doc_id", "text"))
-    return source.mapInArrow(_map_statistics(common, finish, []), f"doc_id {kind}, doc_form string, " + ", ".join(f"{f} double" for f in FORMS))
+    return source.mapInArrow(_map_statistics(common, finish), f"doc_id {kind}, doc_form string, " + ", ".join(f"{f} double" for f in FORMS))
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,11 @@ def test_operator_edge_cases(spark):
     assert sorted((r.record_id, r.slot_no, r.std_id) for r in out if r.std_id) == [(1, 0, 1), (4, 0, 1), (4, 0, 1), (4, 1, 1), (4, 1, 1), (5, 1, 2)]
     assert canonical_texts(survey_texts(records.limit(0)), standard).count() == 0
     assert canonical_texts(survey_texts(records), standard.limit(0)).filter("std_id is not null").count() == 0
+
+
+def test_letters_of_further_scripts():
+    from tessella.llm import lookalikes as L
+
+    trie = L.LookAlikeTrie([("Total", 1), ("Age", 2), ("Yes", 3)])
+    found = [trie.find(text) for text in ("Tоtɑl", "Аɡe", "Totaⅼ", "Ꭺge", "ꓬes")]
+    assert [f[0] if isinstance(f, tuple) else f for f in found] == [1, 2, 1, 2, 3]
