@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import conditions as C
+from tessella.functions import text as X
 
 #: Kinds and limits.
 NODE_KINDS = ("entry", "question", "section", "repeat_group", "terminal")
@@ -104,3 +105,22 @@ def ordered_unique(rows: DataFrame, key: str, order: str, value: str) -> DataFra
 
     first = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("first"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("first", value)) - 1).drop("first")
+
+
+#: Fixed value: the version of what a conversion gives, which bindings name.
+CONVERSION = "1.0"
+
+
+def source_bindings(documents: DataFrame, version: str = CONVERSION) -> DataFrame:
+    """``doc_id, source_name, media_type, source_format, snapshot_sha256, version``: what a result says of the source it was made from."""
+    return documents.select("doc_id", "source_name", "media_type", X.source_format(F.col("source_name"), F.col("media_type")).alias("source_format"), "snapshot_sha256", F.lit(version).alias("version"))
+
+
+def binding_faults(bindings: DataFrame, documents: DataFrame, version: str = CONVERSION) -> DataFrame:
+    """``doc_id, fault`` of bindings that aren't those of their document as it is now; a source without a digest binds nothing."""
+    now = source_bindings(documents, version).select("doc_id", F.lit(True).alias("known"), *(F.col(c).alias(f"{c}_now") for c in ("source_name", "media_type", "source_format", "snapshot_sha256", "version")))
+    told = bindings.join(now, "doc_id", "left")
+    rules = {"missing_document": F.col("known").isNull()}
+    rules |= {c: F.col("known").isNotNull() & ~F.equal_null(c, f"{c}_now") for c in ("source_name", "media_type", "source_format", "version")}
+    rules["digest"] = F.col("known").isNotNull() & (F.col("snapshot_sha256").isNull() | ~F.equal_null("snapshot_sha256", "snapshot_sha256_now"))
+    return _faults(told, "doc_id", rules)

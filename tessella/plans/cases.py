@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
@@ -17,7 +18,7 @@ from tessella.functions import text as T
 from tessella.operators import claims, evaluate, forms, graph, provider, quality, regions, resolve, review, risks, validate
 from tessella.operators import chunking as K
 from tessella.plans import extraction, routing
-from tessella.sources import pages, parsers
+from tessella.sources import pages, parsers, reader
 from tessella.sources.reader import parse_files
 
 QUERIES: dict = {}
@@ -439,6 +440,21 @@ def page_coverage(spark):
     return frame(spark, "total int, converted string, failed string", [(told["total_units"], join("converted_units"), join("failed_units"))])
 
 
+@case("bundle_id string, digest string", [(b, hashlib.sha256(text.encode()).hexdigest()) for b, text in (("one", "6:a.xlsx:3:aa\n5:b.csv:2:bb\n7:c/d.csv:1:cc"), ("two", "6:a.xlsx:3:aa"))])
+def bundle_digests(spark):
+    rows = [("one", "c/d.csv", False, 1, "cc"), ("one", "a.xlsx", True, 3, "aa"), ("one", "b.csv", False, 2, "bb"), ("two", "a.xlsx", True, 3, "aa")]
+    return reader.bundle_digests(frame(spark, "bundle_id string, path string, is_primary boolean, n_bytes long, sha256 string", rows))
+
+
+@case("doc_id string, fault string", [("b", "digest"), ("c", "missing_document"), ("d", "media_type"), ("d", "source_name"), ("e", "digest"), ("f", "version"), ("g", "source_format")])
+def binding_checks(spark):
+    schema = "doc_id string, source_name string, media_type string, snapshot_sha256 string"
+    documents = frame(spark, schema, [(x, f"{x}.csv", "text/csv", None if x == "e" else "s") for x in "abdefg"])
+    told = [("a", "a.csv", "text/csv", "csv", "s", "1.0"), ("b", "b.csv", "text/csv", "csv", "t", "1.0"), ("c", "c.csv", "text/csv", "csv", "s", "1.0"), ("d", "x.csv", "text/plain", "csv", "s", "1.0"), ("e", "e.csv", "text/csv", "csv", None, "1.0"), ("f", "f.csv", "text/csv", "csv", "s", "0.9"), ("g", "g.csv", "text/csv", "txt", "s", "1.0")]
+    bindings = frame(spark, "doc_id string, source_name string, media_type string, source_format string, snapshot_sha256 string, version string", told)
+    return validate.binding_faults(bindings, documents)
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------
 
 

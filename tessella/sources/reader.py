@@ -70,6 +70,17 @@ def oversized_files(spark: SparkSession, path: str, most_bytes: int, pattern: st
     return large.select(*(told.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (f.split(" ") for f in BLOCKS.split(", "))))
 
 
+def bundle_digests(files: DataFrame) -> DataFrame:
+    """``bundle_id, digest``: one digest of a primary file and its companions, from (bundle_id, path, is_primary, n_bytes, sha256).
+
+    Each file is told by its path's length, path, size and own digest, so no two bundles read alike; the primary comes
+    first, companions by path. A bundle is a form and the few files that it names.
+    """
+    record = F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.col("n_bytes").cast("string"), F.lit(":"), F.col("sha256"))
+    told = files.select("bundle_id", F.struct((~F.col("is_primary")).alias("later"), "path", record.alias("record")).alias("f"))
+    return told.groupBy("bundle_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["record"]), "\n"), 256).alias("digest"))
+
+
 def read_blocks(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return parse_files(read_files(spark, path, pattern))
 
