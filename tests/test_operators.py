@@ -13,6 +13,7 @@ from tessella.operators import quality as Q
 from tessella.operators import resolve as R
 from tessella.operators import review as V
 from tessella.operators.components import connected_components
+from tessella.runtime import cut_lineage
 
 
 def test_paragraphs_and_sections(spark):
@@ -131,6 +132,29 @@ def test_prefix_filter_equals_brute_force(spark):
     assert {(r.a, r.b) for r in Q.similar_questions(df).collect()} == want and want
 
 
+def test_similar_questions_write_few_candidates(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    rows = [record(n, f"n{n}", " ".join(["rare", *rng.sample(words, 20)])) for n in range(1, 201)]
+    rows.append(record(201, "n", rows[0][9].replace("rare", "other")))
+    written = []
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    assert [(r.a, r.b) for r in Q.similar_questions(spark.createDataFrame(rows, RECORD)).collect()] == [(1, 201)]
+    pairs = [df for df in written if df.columns == ["a", "b"]]
+    assert len(pairs) == 1 and pairs[0].count() <= 5
+
+
+def test_similar_questions_send_no_table_to_all_tasks(spark):
+    df = spark.createDataFrame([record(n, f"n{n}", f"one two three four five six w{n}") for n in range(9)], RECORD)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for query in (Q.similar_questions, Q.similar_records):
+            assert "Broadcast" not in query(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_diagnostics_order(spark):
     rows = [record(1, "a", numeric_range=(2.0, 1.0)), record(2, "b", "x", extraction_confidence=0.1), record(3, "B", "y")]
     out = Q.policy_diagnostics(spark.createDataFrame(rows, RECORD)).orderBy("phase", "position", "seq").collect()
