@@ -3,10 +3,11 @@
 Every field is voted for by the group's records. The texts of TEXTS are voted for token by token: the distinct values of a
 group are aligned progressively (heaviest first) into columns, each column votes with the values' weights, and the
 existing value closest to the winning tokens is emitted. A value that can't be parted (a record as best, a list of
-categories, a page) is a single token in a single column; its vote is decided by the heaviest weight, compared in the
-order that the field is trusted in, and the closest existing value is the winner itself, so this vote is a max-aggregate.
+categories, a page) stands as its record's id, a single token: ids are aligned into one column and voted for by the same
+steps, a vote weighing its place in the order that the field is trusted in.
 
-Votes of ids combine on the map side, so a group that holds a third of all rows costs one row a task. Texts are aligned in
+Ids are elected in shards of SHARD votes at most and about half of it, and those elected in turn, so a group that holds a third of
+all rows is many tasks' work. Texts are aligned in
 shards of SHARD values at most and about half of it, whose profiles (one row a shard, as long as a text) are aligned in
 turn, level by level; a group of up to SHARD values is one shard. Each shard then gives its value closest to the
 consensus, and the closest of these is chosen. No task collects an unbounded group. Texts of any length are aligned, long
@@ -27,6 +28,7 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,18 +269,65 @@ def keyed_records(records: DataFrame) -> DataFrame:
     return records.filter("survey_id is not null").withColumns(told).filter("name_key != ''")
 
 
+def elected(votes: list[dict], order: tuple[str, ...]) -> dict | None:
+    """The vote whose record is chosen by the consensus of the records' ids.
+
+    An id is a text of one token, so all ids align into one column; a vote weighs its place in ``order`` (null lowest, then
+    the smaller id), the column's heaviest token is the consensus, and the existing id closest to it is emitted.
+    """
+    place = lambda v: (*((v[c] is not None, v[c]) for c in order), -v["id"])
+    by_id: dict[str, dict] = {}
+    for v in votes:
+        if (own := str(v["id"])) not in by_id or place(by_id[own]) < place(v):
+            by_id[own] = v
+    if not by_id:
+        return None
+    values = sorted(by_id, key=lambda i: place(by_id[i]))
+    return by_id[closest(values, [float(n) for n in range(1, len(values) + 1)])]
+
+
+#: What decides each elected field, in order; the smaller record id is last.
+ORDERS = {"best": ("trust", "received_at"), "categories": ("n_codes", "trust", "received_at"), "page": ("received_at",)}
+
+
+def _elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard's votes (the last column), those elected for each field."""
+    for batch in batches:
+        votes = batch.column("votes")
+        cells = votes.to_pylist()
+        told = [pa.array([elected([v[f] for v in cell if v[f] is not None], order) for cell in cells], votes.type.value_type.field(f).type) for f, order in ORDERS.items()]
+        keys = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *told], [*keys, *ORDERS])
+
+
 def elected_records(records: DataFrame) -> DataFrame:
-    """``survey_id, name_key, n_records, best_record_id, categories_record_id, page_record_id`` of groups of two or more."""
-    newest = [F.col("received_at"), (-F.col("record_id")).alias("id")]
+    """``survey_id, name_key, n_records, best_record_id, categories_record_id, page_record_id`` of groups of two or more.
+
+    Ids are aligned and voted for in shards of about SHARD; those elected are the votes of the next level.
+    """
     votes = keyed_records(records).select(*KEYS, "record_id", "trust", "received_at", "n_codes", "has_page")
-    winner = lambda vote: F.coalesce(-F.max(vote)["id"], F.lit(0))
-    elected = votes.groupBy(*KEYS).agg(
-        F.count("*").alias("n_records"),
-        winner(F.struct("trust", *newest)).alias("best_record_id"),
-        winner(F.when(F.col("n_codes") > 0, F.struct("n_codes", "trust", *newest))).alias("categories_record_id"),
-        winner(F.when(F.col("has_page"), F.struct(*newest))).alias("page_record_id"),
+    vote = lambda field: F.struct(*ORDERS[field], F.col("record_id").alias("id"))
+    # A row for each record: rows that are repeated can't fill a shard.
+    ids = votes.groupBy(*KEYS, "record_id").agg(
+        F.count("*").alias("n"),
+        F.max(vote("best")).alias("best"),
+        F.max(F.when(F.col("n_codes") > 0, vote("categories"))).alias("categories"),
+        F.max(F.when(F.col("has_page"), vote("page"))).alias("page"),
     )
-    return elected.filter("n_records >= 2")
+    groups = ids.groupBy(*KEYS).agg(F.sum("n").alias("n_records"), F.count("*").alias("n_ids")).filter("n_records >= 2")
+    parts = F.when(F.col("n_ids") <= SHARD, F.lit(1)).otherwise(F.ceil(F.col("n_ids") / (SHARD // 2))).cast("long")
+    level = ids.drop("n").join(groups.hint("merge"), KEYS).withColumn("parts", parts).withColumn("shard", F.pmod(F.xxhash64("record_id"), F.col("parts")))
+    shard = [*KEYS, "n_records", "parts", "shard"]
+    done, most = [], None
+    while most is None or most > 1:
+        gathered = level.groupBy(*shard).agg(F.collect_list(F.struct(*ORDERS)).alias("votes"))
+        kinds = dict(level.dtypes)
+        voted = cut_lineage(gathered.mapInArrow(_elect, ", ".join(f"{c} {kinds[c]}" for c in [*shard, *ORDERS])))
+        most = voted.agg(F.max("parts")).first()[0] or 1
+        done.append(voted.filter("parts = 1"))
+        level = voted.filter("parts > 1").withColumn("parts", F.ceil(F.col("parts") / SHARD)).withColumn("shard", F.pmod("shard", F.col("parts")))
+    of = lambda field: F.coalesce(F.col(field)["id"], F.lit(0).cast("long")).alias(f"{field}_record_id")
+    return reduce(DataFrame.unionAll, done).select(*KEYS, "n_records", *map(of, ORDERS))
 
 
 def survivors(records: DataFrame) -> DataFrame:
@@ -315,7 +364,7 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The elected records; each id is a single token, so the column's vote is decided by its weight's order (see above)."""
+    """The records elected by the consensus of their ids (see above)."""
     return elected_records(read_table(spark, sf_dir, "variable_records")).drop("n_records")
 
 

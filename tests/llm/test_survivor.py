@@ -165,3 +165,33 @@ def test_survivor_is_a_whole_record(spark):
     assert (r.extraction_confidence, r.source_page, [c.code.s for c in r.categories], r.received_at) == (0.9, 7, ["1", "2"], t[2])
     assert (r.question_text, r.label, r.universe, r.skip_condition_raw, r.data_type, r.module) == ("who owns the farm", "Owner", "all", "if 2", "text", "Farm")
     assert r.needs_review is True and r.review_reasons == ["low_confidence", "model_flagged"]
+
+
+def test_ids_are_elected_by_the_consensus(monkeypatch):
+    aligned = []
+    align = S.align
+    monkeypatch.setattr(S, "align", lambda x, y: aligned.append((x, y)) or align(x, y))
+    rng = random.Random(4)
+    day = datetime.datetime(2024, 1, 1)
+    for n in (1, 2, 3, 48, 100):
+        votes = [{"trust": rng.choice((-1.0, 0.5, 0.9)), "received_at": rng.choice((None, day, day + datetime.timedelta(1))), "id": i} for i in range(90, 90 + n)]
+        best = max(votes, key=lambda v: (v["trust"], v["received_at"] or datetime.datetime.min, -v["id"]))
+        assert S.elected(votes, S.ORDERS["best"]) == best
+    assert len(aligned) == 0 + 1 + 2 + 47 + 99
+    assert S.elected([], S.ORDERS["page"]) is None
+
+
+def test_ids_of_a_hot_group_are_elected_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD", 4)
+    rng = random.Random(9)
+    rows = [("s", i, "q" if i < 400 else "r", rng.choice((None, 0.2, 0.8)), rng.choice((None, 1, 2)), i % 7 if i % 3 else None, i % 5) for i in (*range(403), 5, 5, 401)]
+    records = spark.createDataFrame(rows, "survey_id string, record_id long, raw_name string, extraction_confidence double, day int, source_page int, n int").selectExpr(
+        "*", "timestamp_micros(day * 1000000) as received_at", "transform(sequence(0, n), i -> named_struct('code', named_struct('s', string(i)), 'label', if(n = 0, '', 'x'))) as categories"
+    )
+    trust = lambda r: (r[3] if r[3] is not None else -1, r[4] or 0, -r[1])
+    expected = set()
+    for name in "qr":
+        own = [r for r in rows if r[2] == name]
+        coded, paged = [r for r in own if r[6]], [r for r in own if r[5] is not None]
+        expected.add(("s", name, len(own), max(own, key=trust)[1], max(coded, key=lambda r: (r[6], *trust(r)))[1], max(paged, key=lambda r: (r[4] or 0, -r[1]))[1]))
+    assert {tuple(r) for r in S.elected_records(records).collect()} == expected
