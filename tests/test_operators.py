@@ -155,6 +155,36 @@ def test_similar_questions_send_no_table_to_all_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def final_plan(df, spark, threshold="1g"):
+    """Rows, and the plan that ran with a threshold that would let Spark send any table to all tasks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        out = df()
+        return sorted(map(str, out.collect())), out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def overlapping(spark):
+    rows = [record(n, "a", "x y", blocks=[f"b{n}"], overlap=[f"b{n - 1}"], extraction_confidence=0.1) for n in range(1, 9)]
+    rows += [record(9, "b", numeric_range=(2.0, 1.0)), record(10, "c", "one two three four five", data_type="categorical_single"), record(11, "C", "one two three four", prov=(1, "sheet", []))]
+    return spark.createDataFrame(rows, RECORD)
+
+
+def test_overlap_groups_are_not_sent_to_all_tasks(spark):
+    rows, plan = final_plan(lambda: Q.overlap_duplicates(overlapping(spark)), spark)
+    assert len(rows) == 4 and "Broadcast" not in plan
+
+
+def test_diagnostics_send_only_counted_ids_to_all_tasks(spark, monkeypatch):
+    few, plan = final_plan(lambda: Q.policy_diagnostics(overlapping(spark)), spark)
+    assert "Broadcast" in plan and sum("overlap_deduped" in r for r in few) == 4 and sum("possible_duplicate" in r for r in few) == 1
+    monkeypatch.setattr(Q, "MOST_SENT", 3)
+    many, plan = final_plan(lambda: Q.policy_diagnostics(overlapping(spark)), spark)
+    assert "Broadcast" not in plan and many == few
+
+
 def test_diagnostics_order(spark):
     rows = [record(1, "a", numeric_range=(2.0, 1.0)), record(2, "b", "x", extraction_confidence=0.1), record(3, "B", "y")]
     out = Q.policy_diagnostics(spark.createDataFrame(rows, RECORD)).orderBy("phase", "position", "seq").collect()
