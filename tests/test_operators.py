@@ -185,6 +185,14 @@ def test_diagnostics_send_only_counted_ids_to_all_tasks(spark, monkeypatch):
     assert "Broadcast" not in plan and many == few
 
 
+def test_policy_sends_only_counted_ids_to_all_tasks(spark, monkeypatch):
+    few, plan = final_plan(lambda: Q.apply_policy(overlapping(spark)), spark)
+    assert plan.count("BroadcastHashJoin") and sum("duplicate'" in r and "reasons=''" in r for r in few) == 4 and sum("possible_duplicate" in r for r in few) == 2
+    monkeypatch.setattr(Q, "MOST_SENT", 3)
+    many, plan = final_plan(lambda: Q.apply_policy(overlapping(spark)), spark)
+    assert "Broadcast" not in plan and many == few
+
+
 def test_diagnostics_order(spark):
     rows = [record(1, "a", numeric_range=(2.0, 1.0)), record(2, "b", "x", extraction_confidence=0.1), record(3, "B", "y")]
     out = Q.policy_diagnostics(spark.createDataFrame(rows, RECORD)).orderBy("phase", "position", "seq").collect()
